@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orderloom.llm.addresses import address_pairs
 from orderloom.llm.encode import encode_texts, share_vocabulary
+from orderloom.llm.names import name_pairs
 from orderloom.llm.newtext import new_lines
 
 
@@ -12,6 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return address_pairs(_table(spark, sf_dir, "purchase_orders"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_pairs(_table(spark, sf_dir, "purchase_orders"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_lines(_table(spark, sf_dir, "inbound_emails"))
 
@@ -21,7 +31,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p6_ids": p6_ids}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids}
 
 
 def oracles() -> dict[str, str]:
