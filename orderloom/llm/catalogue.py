@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.llm.addresses import address_pairs
 from orderloom.llm.encode import encode_texts, share_vocabulary
+from orderloom.llm.languages import label_cases, language_segments
 from orderloom.llm.names import name_pairs
 from orderloom.llm.newtext import new_lines
+from orderloom.llm.packing import pack_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +32,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), share_vocabulary(spark))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), share_vocabulary(spark))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_cases(_table(spark, sf_dir, "documents"))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_segments(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracles() -> dict[str, str]:
