@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.plans import core
+from orderloom.plans import core, reports
 
-MODULES = (core,)
+MODULES = (core, reports)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.p1_found(spark, sf_dir)
+    return reports.reconciliation(spark, sf_dir)
