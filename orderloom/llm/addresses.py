@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.folding import fold, loose, within
+from orderloom.session import cut_lineage
 
 # Kinds of street, folded. One code per line; words that may stand before or after a name.
 KIND_LINES = """
@@ -206,7 +207,9 @@ def address_classes(addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = values.withColumn("f", F.pandas_udf(parse_batches, FORM)("address")).select("address", "f.*")
     usable = parsed.where("number is not null and street is not null and kind is not null and length(street) > 2 and (postcode is not null or town is not null)")
     members = usable.withColumn("class_id", F.xxhash64("number", "street", "kind", F.coalesce("postcode", F.lit("")), F.coalesce("town", F.lit(""))))
-    towns = usable.where("postcode is not null and town is not null").groupBy("postcode", "town").count()
+    # written once: parsed strings are read several times below
+    members = cut_lineage(members)
+    towns = members.where("postcode is not null and town is not null").groupBy("postcode", "town").count()
     towns = towns.groupBy("postcode").agg(F.max(F.struct("count", F.col("town").alias("usual")))["usual"].alias("usual"))
     forms = members.select("class_id", "number", "street", "kind", "postcode", "town").dropDuplicates(["class_id"])
     forms = forms.join(towns, "postcode", "left").withColumn("place", F.coalesce("town", "usual")).drop("usual")
@@ -216,6 +219,8 @@ def address_classes(addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
     one_code = coded & (F.col("postcode_a") == F.col("postcode_b")) & same_street(F.col("street_a"), F.col("street_b"), 4)
     one_town = ~coded & same_town(F.col("place_a"), F.col("place_b")) & same_street(F.col("street_a"), F.col("street_b"), 2)
     linked = first.where(one_code | one_town).select("class_id_a", "class_id_b", "postcode_a", "postcode_b").distinct()
+    linked = cut_lineage(linked)
+    coded = F.col("postcode_a").isNotNull() & F.col("postcode_b").isNotNull()
     # a form without postcode takes the one that all its linked forms have, and meets the others there
     sides = F.explode(F.array(F.struct(F.col("class_id_a").alias("class_id"), F.col("postcode_b").alias("code")), F.struct(F.col("class_id_b").alias("class_id"), F.col("postcode_a").alias("code"))))
     taken = linked.where(~coded).select(sides.alias("s")).select("s.*").where("code is not null").groupBy("class_id").agg(F.min("code").alias("code"), F.max("code").alias("other"))
