@@ -179,6 +179,6 @@ def match_label(c: ColumnLike) -> Column:
         rest = lambda b: strip(F.regexp_replace(F.substring(text, b["n"] + 1, F.length(text)), r"(?U)^\s*(?:[:#]|[-–](?=\s))?\s*", ""))
         return let(best, lambda b: F.when(b["n"] > 0, F.struct(b["field"].alias("field"), rest(b).alias("rest"))))
 
-    # most texts start with no word of any label, and are not tried against all of them
-    first = r"(?iU)^\s*(?:p|o|d|i|r|n|c|s|v|b|t|m|g|h|f|a)"
-    return let(strip_markdown(c), lambda text: F.when(text.rlike(first), longest(text)))
+    # most texts start with no label: one pattern of all sorts them out before the longest is sought
+    any_label = rf"(?iU)^\s*(?:{'|'.join(p for _, p in patterns)})(?=$|[\s:#])"
+    return let(strip_markdown(c), lambda text: F.when(text.rlike(any_label), longest(text)))

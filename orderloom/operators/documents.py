@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.orders import match_label
 from orderloom.functions.text import strip
+from orderloom.session import cut_lineage, spread
 
 PARSED_SCHEMA = (
     "document_id string, parser string, page_count int, markdown string, text_blocks array<string>, "
@@ -33,6 +36,24 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return cells.withColumn("cell", strip(F.coalesce("cell", F.lit("")))).withColumn("label", match_label("cell"))
 
 
+class Labelled(NamedTuple):
+    """Documents with their lines, rows and cells, labels matched once."""
+
+    docs: DataFrame
+    lines: DataFrame
+    rows: DataFrame
+    cells: DataFrame
+
+
+def labelled(docs: DataFrame | Labelled) -> Labelled:
+    """Lines, rows and cells are each read several times by the extraction, so they are written once."""
+    if isinstance(docs, Labelled):
+        return docs
+    docs = cut_lineage(spread(docs, "document_id"))
+    rows = rows_of(docs)
+    return Labelled(docs, cut_lineage(lines_of(docs)), rows, cut_lineage(cells_of(rows)))
+
+
 def table_markdown(rows: Column) -> Column:
     """Pipe table of a grid: ragged rows padded, line feeds as blanks, pipes escaped, a rule below the first row."""
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))

@@ -17,7 +17,7 @@ from orderloom.functions.orders import (
     strip_markdown,
 )
 from orderloom.functions.text import blank_to_null, clean_inline, detect_currency, normalize_email, strip
-from orderloom.operators.documents import cells_of, lines_of, rows_of
+from orderloom.operators.documents import Labelled, labelled
 from orderloom.operators.items import item_tables, line_items, totals_rows
 
 HEADER_FIELDS = tuple(f for f, _ in vocab.HEADER_LABELS)
@@ -25,10 +25,10 @@ BLOCK_FIELDS = (*vocab.PARTY_FIELDS, *vocab.ADDRESS_FIELDS)
 CANDIDATE = ("document_id", "seq", "field", "value", "evidence", "priority")
 
 
-def text_candidates(docs: DataFrame) -> DataFrame:
+def text_candidates(docs: DataFrame | Labelled) -> DataFrame:
     """Values on or below label lines: the rest of the line first, then the next line that is no label."""
     ahead = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(1, 4)
-    lines = lines_of(docs).withColumn("next", F.collect_list(F.struct(F.col("label").isNotNull().alias("stop"), strip_markdown("line").alias("text"))).over(ahead))
+    lines = labelled(docs).lines.withColumn("next", F.collect_list(F.struct(F.col("label").isNotNull().alias("stop"), strip_markdown("line").alias("text"))).over(ahead))
     stop = F.array_position(F.transform("next", lambda x: x["stop"]), F.lit(True)).cast("int")
     following = F.transform(F.slice("next", F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size("next"))), lambda x: x["text"])
     hits = lines.where("label is not null").withColumn("following", following)
@@ -46,10 +46,9 @@ def text_candidates(docs: DataFrame) -> DataFrame:
     return found.where("o.priority = 0 or o.value is not null").select("document_id", seq.alias("seq"), "field", "o.value", "o.evidence", "o.priority")
 
 
-def table_candidates(docs: DataFrame) -> DataFrame:
+def table_candidates(docs: DataFrame | Labelled) -> DataFrame:
     """Values in, right of or below label cells; of item tables only the totals rows count, if there are any."""
-    rows = rows_of(docs)
-    cells = cells_of(rows)
+    _, _, rows, cells = labelled(docs)
     totals = totals_rows(cells)
     tables = item_tables(cells, rows).select("document_id", "t", F.lit(True).alias("is_items"))
     masked = tables.join(totals.select("document_id", "t").distinct(), ["document_id", "t"]).withColumnRenamed("is_items", "masked")
@@ -102,12 +101,14 @@ def resolve(candidates: DataFrame, date_order: str = "MDY") -> DataFrame:
     )
 
 
-def header_fields(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
+def header_fields(docs: DataFrame | Labelled, date_order: str = "MDY") -> DataFrame:
     """document_id, one column per header field (typed), evidence (map of field to source text).
 
     Every document has a row; fields that are not found are NULL.
     """
-    found = resolve(text_candidates(docs).unionByName(table_candidates(docs)), date_order)
+    parts = labelled(docs)
+    docs = parts.docs
+    found = resolve(text_candidates(parts).unionByName(table_candidates(parts)), date_order)
     pick = lambda f: F.max(F.when(F.col("field") == f, F.struct("met", "won"))).alias(f"_{f}")
     wide = found.groupBy("document_id").agg(*(pick(f) for f in HEADER_FIELDS))
     wide = docs.select("document_id", "text_blocks", "tables").join(wide, "document_id", "left")
@@ -125,7 +126,7 @@ def header_fields(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
         F.filter(F.array(*(F.struct(F.lit(f).alias("key"), F.when(value(f).isNotNull(), F.col(f"_{f}.won.evidence")).alias("value")) for f in HEADER_FIELDS)), lambda e: e["value"].isNotNull())
     )
     out = wide.select("document_id", "text_blocks", "tables", *(c.cast(kinds.get(f, "string")).alias(f) for f, c in fields.items()), evidence.alias("evidence"))
-    out = out.join(letterhead(docs), "document_id", "left")
+    out = out.join(letterhead(parts), "document_id", "left")
     use = F.col("buyer_name").isNull() & F.col("letter.name").isNotNull()
     corpus = F.array_join(F.concat("text_blocks", F.flatten(F.flatten(F.transform("tables", lambda t: t["rows"])))), "\n")
     body_currency = detect_currency(corpus)
@@ -150,10 +151,10 @@ def header_fields(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
     )
 
 
-def letterhead(docs: DataFrame) -> DataFrame:
+def letterhead(docs: DataFrame | Labelled) -> DataFrame:
     """document_id, letter (name, address): a company in the first six lines, before any labelled value."""
     order = Window.partitionBy("document_id").orderBy("line_no")
-    lines = lines_of(docs).withColumn("line", strip(F.col("line")))
+    lines = labelled(docs).lines.withColumn("line", strip(F.col("line")))
     ahead = order.rowsBetween(1, 3)
     lines = lines.withColumn("next", F.collect_list(F.struct((F.col("label").isNotNull() | ~looks_like_address("line")).alias("stop"), F.col("line").alias("text"))).over(ahead))
     lines = lines.withColumn("closed", F.max((F.coalesce(F.col("label.rest"), F.lit("")) != "").cast("int")).over(order))
@@ -167,8 +168,9 @@ def letterhead(docs: DataFrame) -> DataFrame:
     return first.select("document_id", "letter")
 
 
-def extract(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
+def extract(docs: DataFrame | Labelled, date_order: str = "MDY") -> DataFrame:
     """Header fields with line_items (array of struct in document order) and all warnings."""
+    docs = labelled(docs)
     items = line_items(docs, date_order)
     names = [c for c in items.columns if c not in ("document_id", "numbers_given")]
     grouped = items.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("line_items"), F.max("numbers_given").alias("given"))

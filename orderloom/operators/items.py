@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orderloom.functions import vocab
 from orderloom.functions.orders import normalise_header, parse_date, uom_of_quantity
 from orderloom.functions.text import blank_to_null, clean_inline, parse_decimal, parse_int
-from orderloom.operators.documents import cells_of, rows_of
+from orderloom.operators.documents import Labelled, labelled
 
 ITEM_FIELDS = tuple(f for f, _ in vocab.ITEM_COLUMNS)
 
@@ -81,14 +81,13 @@ def totals_rows(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("label.field").isin(*vocab.MONEY_FIELDS)).select("document_id", "t", "r").distinct()
 
 
-def line_items(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
+def line_items(docs: DataFrame | Labelled, date_order: str = "MDY") -> DataFrame:
     """document_id, seq and the typed item fields of all line items, in document order.
 
     Documents without items have no row. Repeated headings and totals rows are left out, rows with a
     description only extend the item before; numbers are given in row order where the document has none.
     """
-    rows = rows_of(docs)
-    cells = cells_of(rows)
+    _, _, rows, cells = labelled(docs)
     tables = item_tables(cells, rows)
     data = rows.join(tables, ["document_id", "t"]).where("header_r is null or r > header_r")
     heads = rows.join(tables.select("document_id", "t", "header_r").where("header_r is not null"), ["document_id", "t"]).where("r = header_r")

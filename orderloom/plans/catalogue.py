@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.plans import core, reports
+from orderloom.plans import core, expressions, extraction, flows, reports
 
-MODULES = (core, reports)
+MODULES = (core, reports, expressions, extraction, flows)
 
 
 def queries() -> dict:

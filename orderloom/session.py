@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orderloom-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Over all shuffle partitions: for steps that cost much more time than their few bytes suggest,
+    which adaptive execution would otherwise put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share, for tables that a query writes on its way: below the checkpoint folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
+        named = tempfile.mkdtemp(prefix="orderloom-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A parser turns the bytes of one file into (text blocks, tables of (page, rows)) or raises.
 Parser = Callable[[bytes], tuple[list[str], list[tuple[int, list[list[str]]]]]]
@@ -98,7 +99,7 @@ def current_version(spark: SparkSession, root: str) -> str | None:
         stream.close()
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
+def read_snapshot(spark: SparkSession, root: str, schema: str | StructType) -> DataFrame:
     """The current version, or an empty table of the schema before the first write."""
     version = current_version(spark, root)
     return spark.read.schema(schema).parquet(f"{root}/{version}") if version else spark.createDataFrame([], schema)
