@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.encode import LEAF_CHARS, encode_texts, encoder
+from orderloom.session import spread
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class Limits:
 
 
 #: Examples packed by one task.
-SHARD = 20_000
+SHARD = 8_000
 
 
 def token_counts(docs: DataFrame, vocabulary: Broadcast, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -126,4 +127,5 @@ def pack_documents(docs: DataFrame, vocabulary: Broadcast, limits: Limits = Limi
         return pdf.assign(container_id=numbers)[["doc_id", "piece_no", "token_start", "n_tokens", "n_loss", "container_id"]]
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece_no int, token_start int, n_tokens int, n_loss int, container_id bigint"
-    return pieces.groupBy("shard").applyInPandas(run, schema)
+    # few bytes, much work: adaptive execution would put all shards into one task
+    return spread(pieces, "shard").groupBy("shard").applyInPandas(run, schema)
