@@ -84,8 +84,8 @@ def _kind(token: str, not_as: frozenset[str]) -> str | None:
     return None
 
 
-def parse(address: str) -> tuple[str | None, str | None, str | None, str | None, str | None]:
-    """House number, street name, kind of street, postcode and town key of one string; None where missing."""
+def parse(address: str) -> tuple[str | None, ...]:
+    """House number, street name, kind of street, postcode, town key and whole town of one string; None where missing."""
     text = fold(address).replace("\r", "\n")
     text = re.sub(r"[,;\n]| [-–] ", " | ", re.sub(NOISE, " ", text))
     text = NUMBER_SIGN.sub(" ", text)
@@ -110,7 +110,7 @@ def parse(address: str) -> tuple[str | None, str | None, str | None, str | None,
                 rest[-1].append("@")
         else:
             rest[-1].append(t)
-    return number, loose(name) if name else None, kind, code, _town(rest)
+    return number, loose(name) if name else None, kind, code, *_town(rest)
 
 
 def _street(tokens: list[str]) -> tuple[str | None, str | None, str | None, set[int]]:
@@ -152,9 +152,9 @@ def _street(tokens: list[str]) -> tuple[str | None, str | None, str | None, set[
     return tokens[i].lstrip("0"), re.sub(r"[^a-z0-9]", "", name), code, used
 
 
-def _town(segments: list[list[str]]) -> str | None:
-    """Key of the town: its longest word, of the segment next to the postcode if that has one."""
-    best: tuple[int, int, str] | None = None
+def _town(segments: list[list[str]]) -> tuple[str | None, str | None]:
+    """Key of the town, its longest word, and all its letters; of the segment next to the postcode if that has one."""
+    best: tuple[int, int, str, str] | None = None
     for order, segment in enumerate(segments):
         beside = "@" in segment
         words = [re.sub(r"[^a-z0-9]", "", w) for t in segment if t != "@" for w in t.split("-")]
@@ -162,21 +162,23 @@ def _town(segments: list[list[str]]) -> str | None:
             continue
         words = [w for k, w in enumerate(words) if w and not (w in STATES and k > 0) and not w.isdigit()]
         words = [w for w in words if w not in COUNTRIES or len(w) < 3] if len(words) > 1 else words
+        whole = "".join(words)
         words = [w for w in words if len(w) > 2] or words
         if words and max(map(len, words)) > 2:
             key = max(reversed(words), key=len)
             rank = (1 if beside else 0, order)
             if best is None or rank > best[:2]:
-                best = (*rank, loose(key))
-    return best[2] if best else None
+                best = (*rank, loose(key), loose(whole))
+    return best[2:] if best else (None, None)
 
 
-FORM = "struct<number:string,street:string,kind:string,postcode:string,town:string>"
+PARTS = ("number", "street", "kind", "postcode", "town", "town_whole")
+FORM = f"struct<{','.join(f'{p}:string' for p in PARTS)}>"
 
 
 def parse_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for values in batches:
-        yield pd.DataFrame([parse(v) for v in values], columns=["number", "street", "kind", "postcode", "town"], dtype=object)
+        yield pd.DataFrame([parse(v) for v in values], columns=list(PARTS), dtype=object)
 
 
 def deletions(word: Column) -> Column:
@@ -185,10 +187,14 @@ def deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(0), F.length(word) - 1), cut)))
 
 
-def same_town(a: Column, b: Column) -> Column:
-    """Town keys up to two letters apart, one for short names."""
-    most = F.when(F.least(F.length(a), F.length(b)) < 6, 1).otherwise(2)
-    return F.levenshtein(a, b) <= most
+def same_town(suffix_a: str = "_a", suffix_b: str = "_b") -> Column:
+    """Town keys, or all letters of the towns, up to two letters apart; one for short names."""
+
+    def near(c: str) -> Column:
+        a, b = F.col(f"{c}{suffix_a}"), F.col(f"{c}{suffix_b}")
+        return F.levenshtein(a, b) <= F.when(F.least(F.length(a), F.length(b)) < 6, 1).otherwise(2)
+
+    return near("place") | near("place_whole")
 
 
 def same_street(a: Column, b: Column, most: int) -> Column:
@@ -206,18 +212,18 @@ def address_classes(addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
     values = addresses.select(F.col("address")).where("address is not null").distinct()
     parsed = values.withColumn("f", F.pandas_udf(parse_batches, FORM)("address")).select("address", "f.*")
     usable = parsed.where("number is not null and street is not null and kind is not null and length(street) > 2 and (postcode is not null or town is not null)")
-    members = usable.withColumn("class_id", F.xxhash64("number", "street", "kind", F.coalesce("postcode", F.lit("")), F.coalesce("town", F.lit(""))))
+    members = usable.withColumn("class_id", F.xxhash64("number", "street", "kind", F.coalesce("postcode", F.lit("")), F.coalesce("town", F.lit("")), F.coalesce("town_whole", F.lit(""))))
     # written once: parsed strings are read several times below
     members = cut_lineage(members)
-    towns = members.where("postcode is not null and town is not null").groupBy("postcode", "town").count()
-    towns = towns.groupBy("postcode").agg(F.max(F.struct("count", F.col("town").alias("usual")))["usual"].alias("usual"))
-    forms = members.select("class_id", "number", "street", "kind", "postcode", "town").dropDuplicates(["class_id"])
-    forms = forms.join(towns, "postcode", "left").withColumn("place", F.coalesce("town", "usual")).drop("usual")
+    towns = members.where("postcode is not null and town is not null").groupBy("postcode", "town", "town_whole").count()
+    towns = towns.groupBy("postcode").agg(F.max(F.struct("count", "town", "town_whole")).alias("usual"))
+    forms = members.select("class_id", *PARTS).dropDuplicates(["class_id"])
+    forms = forms.join(towns, "postcode", "left").withColumns({"place": F.coalesce("town", "usual.town"), "place_whole": F.coalesce("town_whole", "usual.town_whole")}).drop("usual")
     by_street = F.transform(deletions(F.col("street")), lambda s: F.concat_ws("|", F.lit("s"), "number", "kind", s))
     first = _met(forms, F.concat(_code_key(), by_street))
     coded = F.col("postcode_a").isNotNull() & F.col("postcode_b").isNotNull()
     one_code = coded & (F.col("postcode_a") == F.col("postcode_b")) & same_street(F.col("street_a"), F.col("street_b"), 4)
-    one_town = ~coded & same_town(F.col("place_a"), F.col("place_b")) & same_street(F.col("street_a"), F.col("street_b"), 2)
+    one_town = ~coded & same_town() & same_street(F.col("street_a"), F.col("street_b"), 2)
     linked = first.where(one_code | one_town).select("class_id_a", "class_id_b", "postcode_a", "postcode_b").distinct()
     linked = cut_lineage(linked)
     coded = F.col("postcode_a").isNotNull() & F.col("postcode_b").isNotNull()
@@ -240,7 +246,7 @@ def _code_key() -> Column:
 def _met(forms: DataFrame, keys: Column) -> DataFrame:
     """Pairs of forms that share a key, columns suffixed _a and _b; a pair may come more than once."""
     keyed = forms.withColumn("key", F.explode(keys))
-    names = [c for c in ("class_id", "street", "postcode", "place", "given") if c in keyed.columns]
+    names = [c for c in ("class_id", "street", "postcode", "place", "place_whole", "given") if c in keyed.columns]
     side = lambda s: keyed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in names))
     return side("a").join(side("b"), "key").where("class_id_a < class_id_b")
 
