@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.operators.timestamps import timestamp_cases
 from orderloom.operators.units import unit_cases
+from orderloom.plans.units_sql import unit_cases_sql
 from orderloom.session import table
 
 
@@ -18,4 +19,4 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
-ORACLES: dict[str, str] = {}
+ORACLES = {"p1_found": unit_cases_sql()}
