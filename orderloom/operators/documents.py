@@ -25,33 +25,45 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """document_id, t, r, row of all table rows."""
+    """document_id, t, r, row, below (the next row or NULL) of all table rows."""
     tables = docs.select("document_id", F.posexplode("tables").alias("t", "table"))
-    return tables.select("document_id", "t", F.posexplode("table.rows").alias("r", "row"))
+    rows = tables.select("document_id", "t", "table", F.posexplode("table.rows").alias("r", "row"))
+    return rows.select("document_id", "t", "r", "row", F.get("table.rows", F.col("r") + 1).alias("below"))
 
 
-def cells_of(rows: DataFrame) -> DataFrame:
-    """document_id, t, r, c, cell, label of all cells, stripped."""
-    cells = rows.select("document_id", "t", "r", F.posexplode("row").alias("c", "cell"))
-    return cells.withColumn("cell", strip(F.coalesce("cell", F.lit("")))).withColumn("label", match_label("cell"))
+def labels_of(rows: DataFrame) -> DataFrame:
+    """document_id, t, r, c, cell, label of the cells that are labels, with the values beside and below.
+
+    right and under are structs (text, stop): the next cell that is not blank and the cell below, and
+    whether they are labels themselves. Neighbours are looked up for labels only, within the row at hand.
+    """
+    # inside one expression: as a column and a filter Catalyst would match each cell twice
+    stripped = lambda x: strip(F.coalesce(x, F.lit("")))
+    cell = lambda x, i: F.struct(i.alias("c"), x.alias("cell"), match_label(x).alias("label"))
+    found = F.filter(F.transform(F.transform("row", stripped), cell), lambda s: s["label"].isNotNull())
+    cells = rows.select("document_id", "t", "r", "row", "below", F.explode(found).alias("f")).select("document_id", "t", "r", "row", "below", "f.*")
+    ahead = F.filter(F.transform(F.slice("row", F.col("c") + 2, F.size("row")), lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    cells = cells.withColumns({"_right": F.get(ahead, F.lit(0)), "_under": strip(F.get("below", "c"))})
+    facing = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("text"), match_label(c).isNotNull().alias("stop")))
+    return cells.select("document_id", "t", "r", "c", "cell", "label", facing("_right").alias("right"), facing("_under").alias("under"))
 
 
 class Labelled(NamedTuple):
-    """Documents with their lines, rows and cells, labels matched once."""
+    """Documents with their lines, rows and label cells, labels matched once."""
 
     docs: DataFrame
     lines: DataFrame
     rows: DataFrame
-    cells: DataFrame
+    labels: DataFrame
 
 
 def labelled(docs: DataFrame | Labelled) -> Labelled:
-    """Lines, rows and cells are each read several times by the extraction, so they are written once."""
+    """Lines and label cells are each read several times by the extraction, so they are written once."""
     if isinstance(docs, Labelled):
         return docs
     docs = cut_lineage(spread(docs, "document_id"))
     rows = rows_of(docs)
-    return Labelled(docs, cut_lineage(lines_of(docs)), rows, cut_lineage(cells_of(rows)))
+    return Labelled(docs, cut_lineage(lines_of(docs)), rows, cut_lineage(labels_of(rows)))
 
 
 def table_markdown(rows: Column) -> Column:

@@ -48,19 +48,11 @@ def text_candidates(docs: DataFrame | Labelled) -> DataFrame:
 
 def table_candidates(docs: DataFrame | Labelled) -> DataFrame:
     """Values in, right of or below label cells; of item tables only the totals rows count, if there are any."""
-    _, _, rows, cells = labelled(docs)
-    totals = totals_rows(cells)
-    tables = item_tables(cells, rows).select("document_id", "t", F.lit(True).alias("is_items"))
-    masked = tables.join(totals.select("document_id", "t").distinct(), ["document_id", "t"]).withColumnRenamed("is_items", "masked")
-    allowed = totals.withColumn("allowed", F.lit(True))
-    to_right = Window.partitionBy("document_id", "t", "r").orderBy("c").rowsBetween(1, Window.unboundedFollowing)
-    down = Window.partitionBy("document_id", "t", "c").orderBy("r")
-    facing = F.struct("r", "cell", F.col("label").isNotNull().alias("stop"))
-    seen = cells.withColumn("right", F.first(F.when(F.col("cell") != "", facing), ignorenulls=True).over(to_right)).withColumn("under", F.lead(facing).over(down))
-    seen = seen.where("label is not null").join(masked, ["document_id", "t"], "left").join(allowed, ["document_id", "t", "r"], "left")
-    seen = seen.where("masked is null or allowed")
-    right = F.when(~F.col("right.stop"), F.col("right.cell"))
-    below = F.when(right.isNull() & (F.col("under.r") == F.col("r") + 1) & ~F.col("under.stop"), blank_to_null(F.col("under.cell")))
+    _, _, rows, labels = labelled(docs)
+    masks = item_tables(rows, labels).select("document_id", "t").join(totals_rows(labels), ["document_id", "t"])
+    seen = labels.join(masks, ["document_id", "t"], "left").where("totals is null or array_contains(totals, r)")
+    right = F.when(~F.col("right.stop"), F.col("right.text"))
+    below = F.when(right.isNull() & ~F.col("under.stop"), blank_to_null(F.col("under.text")))
     options = F.array(
         F.struct(F.lit(0).alias("k"), F.lit(0).alias("priority"), blank_to_null(F.col("label.rest")).alias("value"), F.col("cell").alias("evidence")),
         F.struct(F.lit(1).alias("k"), F.lit(0).alias("priority"), right.alias("value"), F.concat_ws(" | ", "cell", right).alias("evidence")),

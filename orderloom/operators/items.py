@@ -9,24 +9,30 @@ from pyspark.sql import functions as F
 
 from orderloom.functions import vocab
 from orderloom.functions.orders import normalise_header, parse_date, uom_of_quantity
-from orderloom.functions.text import blank_to_null, clean_inline, parse_decimal, parse_int
+from orderloom.functions.text import blank_to_null, clean_inline, let, parse_decimal, parse_int
 from orderloom.operators.documents import Labelled, labelled
 
 ITEM_FIELDS = tuple(f for f, _ in vocab.ITEM_COLUMNS)
 
 
+ANY_HEADING = rf"^(?:{'|'.join([vocab.ITEM_HEADING, *(p for _, ps in vocab.ITEM_COLUMNS for p in ps)])})$"
+
+
 def column_field(header: Column) -> Column:
     """Field that a normalised heading names; ``_item`` for the ambiguous one."""
     whole = F.when(header.rlike(f"^(?:{vocab.ITEM_HEADING})$"), F.lit("_item"))
-    return reduce(lambda c, f: c.when(header.rlike(rf"(?U)^(?:{'|'.join(f[1])})$"), F.lit(f[0])), vocab.ITEM_COLUMNS, whole)
+    return reduce(lambda c, f: c.when(header.rlike(rf"^(?:{'|'.join(f[1])})$"), F.lit(f[0])), vocab.ITEM_COLUMNS, whole)
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
+def header_rows(rows: DataFrame) -> DataFrame:
     """document_id, t, header_r, mapping (field to column) of tables with an item heading in their first three rows.
 
     A heading row names a part or description, and a quantity or both prices, in three columns at least.
     """
-    named = cells.where("r < 3").withColumn("field", column_field(normalise_header("cell"))).where("field is not null")
+    # inside one expression: as a column and a filter Catalyst would work the heading out many times over
+    field = lambda x: let(normalise_header(F.coalesce(x, F.lit(""))), lambda h: F.when(h.rlike(ANY_HEADING), column_field(h)))
+    fields = F.filter(F.transform("row", lambda x, i: F.struct(i.alias("c"), field(x).alias("field"))), lambda s: s["field"].isNotNull())
+    named = rows.where("r < 3").select("document_id", "t", "r", F.explode(fields).alias("f")).select("document_id", "t", "r", "f.*")
     first = named.groupBy("document_id", "t", "r", "field").agg(F.min("c").alias("c"))
     mapped = first.groupBy("document_id", "t", "r").agg(F.map_from_entries(F.collect_list(F.struct("field", "c"))).alias("mapping"))
     has = lambda f: F.map_contains_key("mapping", f)
@@ -38,14 +44,14 @@ def header_rows(cells: DataFrame) -> DataFrame:
     )
 
 
-def item_tables(cells: DataFrame, rows: DataFrame) -> DataFrame:
+def item_tables(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """document_id, t, header_r (NULL where a table continues the one before), mapping of all item tables.
 
     A table without heading continues the item table before it if it is as wide and holds few labels.
     """
     tables = rows.groupBy("document_id", "t").agg(F.max(F.size("row")).alias("width"), F.count("*").alias("n_rows"))
-    labelled = cells.where("label is not null").groupBy("document_id", "t").agg(F.count("*").alias("labels"))
-    every = tables.join(labelled, ["document_id", "t"], "left").join(header_rows(cells), ["document_id", "t"], "left")
+    counts = labels.groupBy("document_id", "t").agg(F.count("*").alias("labels"))
+    every = tables.join(counts, ["document_id", "t"], "left").join(header_rows(rows), ["document_id", "t"], "left")
     by_doc = Window.partitionBy("document_id").orderBy("t")
     islands = every.withColumn("island", F.sum(F.col("header_r").isNotNull().cast("int")).over(by_doc))
     in_island = Window.partitionBy("document_id", "island").orderBy("t")
@@ -76,9 +82,9 @@ def _resolve_item(tables: DataFrame, rows: DataFrame) -> DataFrame:
     return known.select("document_id", "t", "header_r", extended.alias("mapping"))
 
 
-def totals_rows(cells: DataFrame) -> DataFrame:
-    """document_id, t, r of rows with a cell that labels an amount of the order's header."""
-    return cells.where(F.col("label.field").isin(*vocab.MONEY_FIELDS)).select("document_id", "t", "r").distinct()
+def totals_rows(labels: DataFrame) -> DataFrame:
+    """document_id, t, totals: the rows of each table with a cell that labels an amount of the order's header."""
+    return labels.where(F.col("label.field").isin(*vocab.MONEY_FIELDS)).groupBy("document_id", "t").agg(F.collect_set("r").alias("totals"))
 
 
 def line_items(docs: DataFrame | Labelled, date_order: str = "MDY") -> DataFrame:
@@ -87,14 +93,17 @@ def line_items(docs: DataFrame | Labelled, date_order: str = "MDY") -> DataFrame
     Documents without items have no row. Repeated headings and totals rows are left out, rows with a
     description only extend the item before; numbers are given in row order where the document has none.
     """
-    _, _, rows, cells = labelled(docs)
-    tables = item_tables(cells, rows)
-    data = rows.join(tables, ["document_id", "t"]).where("header_r is null or r > header_r")
-    heads = rows.join(tables.select("document_id", "t", "header_r").where("header_r is not null"), ["document_id", "t"]).where("r = header_r")
+    _, _, rows, labels = labelled(docs)
+    tables = item_tables(rows, labels).join(totals_rows(labels), ["document_id", "t"], "left")
     signature = lambda c: F.transform(c, lambda x: normalise_header(F.coalesce(x, F.lit(""))))
-    data = data.join(heads.select("document_id", "t", signature(F.col("row")).alias("signature")), ["document_id", "t"], "left")
-    data = data.where(F.col("signature").isNull() | (signature(F.col("row")) != F.col("signature")))
-    data = data.join(totals_rows(cells), ["document_id", "t", "r"], "left_anti")
+    # only the few rows that start like the heading are compared with it in full
+    heads = rows.where("r < 3").join(tables.where("header_r is not null").select("document_id", "t", "header_r"), ["document_id", "t"]).where("r = header_r")
+    tables = tables.join(heads.select("document_id", "t", F.col("row").alias("head")), ["document_id", "t"], "left")
+    data = rows.drop("below").join(tables, ["document_id", "t"]).where("header_r is null or r > header_r")
+    first = lambda c: normalise_header(F.coalesce(F.get(c, F.lit(0)), F.lit("")))
+    alike = F.col("head").isNotNull() & (first("head") == first("row"))
+    data = data.where(~F.coalesce(alike, F.lit(False)) | (signature(F.col("row")) != signature(F.col("head"))))
+    data = data.where(~F.coalesce(F.array_contains("totals", F.col("r")), F.lit(False)))
     text = lambda f: clean_inline(F.expr(f"get(row, mapping['{f}'])"))
     raw = data.select("document_id", "t", "r", *(text(f).alias(f) for f in ITEM_FIELDS))
     typed = raw.select(

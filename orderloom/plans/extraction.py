@@ -49,8 +49,8 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def continued_tables(spark: SparkSession, d: str) -> DataFrame:
-    _, _, rows, cells = labelled(rendered(spark, d))
-    found = item_tables(cells, rows)
+    _, _, rows, labels = labelled(rendered(spark, d))
+    found = item_tables(rows, labels)
     return found.groupBy("document_id").agg(F.count("*").alias("tables"), F.count_if(F.col("header_r").isNull()).alias("continued"))
 
 
