@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orderloom.functions import vocab
-from orderloom.functions.text import ColumnLike, blank_to_null, clean_inline, col, let, norm_key, normalize_email, parse_decimal, strip
+from orderloom.functions.text import ColumnLike, ascii_spaces, blank_to_null, clean_inline, col, let, norm_key, normalize_email, parse_decimal, strip
 
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:
@@ -166,20 +166,13 @@ def values_match(field: ColumnLike, expected: ColumnLike, actual: ColumnLike) ->
     return F.when(e.isNull() | a.isNull(), e.isNull() & a.isNull()).otherwise(F.coalesce(same, F.lit(False)))
 
 
-#: White space beyond ASCII.
-SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
 def match_label(c: ColumnLike) -> Column:
     """struct(field, rest) of the longest label that a text starts with, NULL if there is none."""
     patterns = [(field, p) for field, ps in vocab.HEADER_LABELS for p in ps]
 
-    # Unicode white space becomes as many blanks, as patterns over ASCII white space are far quicker
-    spaced = lambda text: F.translate(text, SPACES, " " * len(SPACES))
-
     def longest(text: Column) -> Column:
         hits = [
-            F.struct(F.length(F.regexp_extract(spaced(text), rf"(?i)^\s*(?:{p})(?=$|[\s:#])", 0)).alias("n"), F.lit(-i).alias("i"), F.lit(field).alias("field"))
+            F.struct(F.length(F.regexp_extract(ascii_spaces(text), rf"(?i)^\s*(?:{p})(?=$|[\s:#])", 0)).alias("n"), F.lit(-i).alias("i"), F.lit(field).alias("field"))
             for i, (field, p) in enumerate(patterns)
         ]
         best = F.greatest(*hits)
@@ -188,4 +181,4 @@ def match_label(c: ColumnLike) -> Column:
 
     # most texts start with no label: one pattern of all sorts them out before the longest is sought
     any_label = rf"(?i)^\s*(?:{'|'.join(p for _, p in patterns)})(?=$|[\s:#])"
-    return let(strip_markdown(c), lambda text: F.when(spaced(text).rlike(any_label), longest(text)))
+    return let(strip_markdown(c), lambda text: F.when(ascii_spaces(text).rlike(any_label), longest(text)))

@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.functions.text import blank_to_null, parse_decimal, strip
+from orderloom.functions.text import WHITE, ascii_spaces, blank_to_null, parse_decimal, strip
 
 # Spellings of units. Each line: base unit, numerator, denominator, spellings.
 # A base unit is reached by spelling * numerator / denominator (+ offset, zero for all of these).
@@ -81,16 +81,16 @@ def unit_table(spark: SparkSession) -> DataFrame:
 
 def unit_alias(text: Column) -> Column:
     """Spelling as the table has it: lower case, no points, no inner blanks."""
-    return blank_to_null(F.regexp_replace(F.lower(text), r"(?U)[\s.]+", ""))
+    return blank_to_null(F.translate(F.lower(text), WHITE + ".", ""))
 
 
 NUMBER = r"[0-9][0-9.,']*"
-LEAD = r"(?U)^(\(?\s*[+-]?\s*[.,]?[0-9][0-9.,'\s]*\)?-?)(.*)$"
-TIMES = rf"(?iU)^(x|×|\*)\s*({NUMBER})\s*(.*?)(?:\s+each)?$"
-MULTIPLE = rf"(?U)^({NUMBER})\s*(.*)()$"
-CONTENT = rf"(?iU)^([^0-9]+?)\s*(?:\bof|à|@|/)?\s*({NUMBER})\s*(.*?)(?:\s+each)?$"
-NAME_HINT = r"(?iU)(?:\(qty in ([^()]+)\)|\[uom ([^\[\]]+)\]|; menge in (.+)|, counted by the (.+)|- sold per (.+))\s*$"
-PRICE = r"(?iU)^(.*?)(?:\s*/\s*|\s+(?:per|je|pro|por|par|à)\s+)(.*)$"
+LEAD = r"^(\(?\s*[+-]?\s*[.,]?[0-9][0-9.,'\s]*\)?-?)(.*)$"
+TIMES = rf"(?i)^(x|×|\*)\s*({NUMBER})\s*(.*?)(?:\s+each)?$"
+MULTIPLE = rf"^({NUMBER})\s*(.*)()$"
+CONTENT = rf"(?i)^([^0-9]+?)\s*(?:\bof|à|@|/)?\s*({NUMBER})\s*(.*?)(?:\s+each)?$"
+NAME_HINT = r"(?i)(?:\(qty in ([^()]+)\)|\[uom ([^\[\]]+)\]|; menge in (.+)|, counted by the (.+)|- sold per (.+))\s*$"
+PRICE = r"(?i)^(.*?)(?:\s*/\s*|\s+(?:per|je|pro|por|par|à)\s+)(.*)$"
 FRACTION = "struct<num:decimal(18,0),den:decimal(18,0),is_base:boolean>"
 TEN_K = 10_000
 
@@ -171,7 +171,8 @@ def to_base_units(items: DataFrame, catalog: DataFrame, units: DataFrame | None
     """
     units = units if units is not None else unit_table(items.sparkSession)
     parts = catalog.where("part_number is not null").select("part_number", "base_unit", "pack_size").dropDuplicates(["part_number"])
-    lines = items.select("id", "part_number", "part_name", "quantity", "unit_of_measure", "unit_price")
+    texts = (ascii_spaces(c).alias(c) for c in ("part_name", "quantity", "unit_of_measure", "unit_price"))
+    lines = items.select("id", "part_number", *texts)
     lead = lambda i: F.regexp_extract("quantity", LEAD, i)
     counted, priced = F.col("quantity").rlike(LEAD), F.col("unit_price").rlike(PRICE)
     hint = F.coalesce(*(blank_to_null(F.regexp_extract("part_name", NAME_HINT, i)) for i in range(1, 6)))
