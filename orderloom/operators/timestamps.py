@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.operators.zones import ZoneTable, zone_table
+from orderloom.session import broadcast_if_small
 
 # Month names and short forms (English, German, Spanish, Polish, French, Italian, Portuguese, Dutch).
 MONTH_LINES = """
@@ -319,7 +320,7 @@ def timestamp_cases(emails: DataFrame, orders: DataFrame, sources: DataFrame) ->
     """
     zones = source_zones(sources)
     known = sources.where("provider is not null").select("provider", "time_zone", "date_order").dropDuplicates(["provider"])
-    mails = emails.select("id", "provider", "received_at").join(F.broadcast(known.limit(MOST_SOURCES)), "provider", "left")
+    mails = emails.select("id", "provider", "received_at").join(broadcast_if_small(known, MOST_SOURCES), "provider", "left")
     changed = F.col("normal_form").isNotNull()
     received = normal_forms(mails.where("received_at is not null"), "received_at", zones, True).where(changed & (F.col("normal_form") != F.col("received_at")))
     received = received.select(F.col("id").alias("record_id"), F.lit("received_at").alias("field"), "normal_form")

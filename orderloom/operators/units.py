@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.functions.text import WHITE, ascii_spaces, blank_to_null, parse_decimal, strip
+from orderloom.session import broadcast_if_small
 
 # Spellings of units. Each line: base unit, numerator, denominator, spellings.
 # A base unit is reached by spelling * numerator / denominator (+ offset, zero for all of these).
@@ -159,6 +160,10 @@ def _in_base(value: Column, num: Column, den: Column) -> Column:
     return F.when(fits, F.when(value < 0, -rounded).otherwise(rounded))
 
 
+#: Parts up to which the catalogue is broadcast (a few MB); a larger one is joined by shuffle.
+MOST_PARTS = 50_000
+
+
 def to_base_units(items: DataFrame, catalog: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Each line of a known part with quantity and price in the part's base unit.
 
@@ -177,7 +182,7 @@ def to_base_units(items: DataFrame, catalog: DataFrame, units: DataFrame | None
     counted, priced = F.col("quantity").rlike(LEAD), F.col("unit_price").rlike(PRICE)
     hint = F.coalesce(*(blank_to_null(F.regexp_extract("part_name", NAME_HINT, i)) for i in range(1, 6)))
     amount = F.when(priced, F.regexp_extract("unit_price", PRICE, 1)).otherwise(F.col("unit_price"))
-    df = lines.join(F.broadcast(parts), "part_number").withColumns({
+    df = lines.join(broadcast_if_small(parts, MOST_PARTS), "part_number").withColumns({
         "q_number": parse_decimal(F.when(counted, lead(1)), "decimal(20,8)"),
         "q_text": F.when(counted, blank_to_null(strip(lead(2)))),
         "u_text": blank_to_null(strip("unit_of_measure")),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that the operators rely on; sizes follow the cluster and are not set here.
 SETTINGS = {
@@ -54,6 +55,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` rows, which is counted here; else joined as any other table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Over all shuffle partitions: for steps that cost much more time than their few bytes suggest,
     which adaptive execution would otherwise put into one task."""
