@@ -25,7 +25,7 @@ T = {name: i for i, name in enumerate(TYPES)}
 EMISSION = np.array([
     [4, -6, 0, 0, -10, -8, -10, 4],          # text
     [4, -8, -8, -10, -10, -8, -10, 4],       # greet
-    [-20, -20, -20, -20, -20, 6, -20, 5],    # prefixed
+    [-20, -20, -20, -20, -20, 6, -20, 6],    # prefixed
     [-2, -10, -10, -10, -10, 4, -20, 4],     # wrapped
     [-12, -20, -20, -20, 8, -8, -10, 8],     # intro
     [-15, -20, -20, -20, -8, -10, 10, 10],   # header
@@ -47,15 +47,15 @@ START = np.array([0, -3, -8, 0, 0, -2, 0, -12], dtype=np.float32)
 TRANSITION = np.array([
     [
         [0, 0, -6, -10, 0, -1, 0, -40], [-9, 0, -1, -10, 0, -1, 0, -15], [-10, -4, 0, -10, 0, -1, 0, -15], [-6, -8, -6, 0, 0, -1, 0, -15],
-        [-900, -900, -900, -900, 0, 0, -2, -3], [-8, -8, -8, -15, -2, 0, 0, -12], [-900, -900, -900, -900, -900, -900, 0, 0], [-900, -900, -900, -900, -900, -900, -1, 0],
+        [-900, -900, -900, -900, 0, 0, -2, -8], [-8, -8, -8, -15, -2, 0, 0, -12], [-900, -900, -900, -900, -900, -900, 0, 0], [-900, -900, -900, -900, -900, -900, -1, 0],
     ],
     [
-        [0, 0, -1, -10, 0, -1, 0, -12], [-9, 0, 0, -10, 0, -1, 0, -3], [-10, -4, -3, -10, 0, -1, 0, -3], [0, -4, -3, -6, 0, -1, 0, -8],
-        [-900, -900, -900, -900, 0, 0, -2, -3], [0, 0, 0, -15, -2, 0, 0, -12], [-900, -900, -900, -900, -900, -900, 0, 0], [-900, -900, -900, -900, -900, -900, -1, 0],
+        [0, 0, -1, -10, 0, 0, 0, -12], [-9, 0, 0, -10, 0, -1, 0, -3], [-10, -4, -3, -10, 0, -1, 0, -3], [0, -4, -3, -6, 0, -1, 0, -8],
+        [-900, -900, -900, -900, 0, 0, -2, -8], [0, 0, 0, -15, -2, 0, 0, -12], [-900, -900, -900, -900, -900, -900, 0, 0], [-900, -900, -900, -900, -900, -900, -1, 0],
     ],
     [
-        [0, 0, -1, -10, 0, -1, 0, -7], [-9, -1, 0, -10, 0, -1, 0, 0], [-10, -5, -3, -10, 0, -1, 0, -1], [0, -4, -3, -6, 0, -1, 0, -6],
-        [-900, -900, -900, -900, 0, 0, -2, -3], [0, 0, 0, -15, -2, 0, 0, -12], [-900, -900, -900, -900, -900, -900, 0, 0], [-900, -900, -900, -900, -900, -900, -1, 0],
+        [0, 0, -1, -10, 0, 0, 0, -7], [-9, -1, 0, -10, 0, -1, 0, 0], [-10, -5, -3, -10, 0, -1, 0, -1], [0, -4, -3, -6, 0, -1, 0, -6],
+        [-900, -900, -900, -900, 0, 0, -2, -8], [0, 0, 0, -15, -2, 0, 0, -12], [-900, -900, -900, -900, -900, -900, 0, 0], [-900, -900, -900, -900, -900, -900, -1, 0],
     ],
 ], dtype=np.float32)
 
@@ -119,7 +119,7 @@ def line_type(s: str) -> int:
 def intro_length(lines: list[str], at: int) -> int:
     """Number of consecutive lines from ``at`` that together introduce an earlier message, or 0."""
     joined = ""
-    for n in range(1, 4):
+    for n in range(1, 6):
         if at + n > len(lines) or not lines[at + n - 1]:
             return 0
         joined = f"{joined} {lines[at + n - 1]}".strip()
@@ -173,6 +173,9 @@ def message_types(body: str, sender_email: str | None, sender_name: str | None)
             kind = T["wrapped"]
         else:
             kind = line_type(s)
+            if gap == 0 and previous == T["note"] and kind in (T["text"], T["short"], T["contact"]):
+                # a notice goes on to the end of its paragraph
+                kind = T["note"]
             if kind in (T["short"], T["text"]) and len(s) < 50:
                 low = s.lower()
                 words = low.split()
