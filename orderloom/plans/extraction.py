@@ -14,7 +14,7 @@ from orderloom.operators.documents import labelled, render_orders
 from orderloom.operators.headers import header_fields, table_candidates, text_candidates
 from orderloom.operators.items import item_tables, line_items
 from orderloom.plans.expressions import CLEAN
-from orderloom.session import table
+from orderloom.session import spread, table
 from orderloom.sources import mime
 from orderloom.sources.documents import parse_documents
 
@@ -106,7 +106,7 @@ def evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mail_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    messages = mime.with_mime(mime.render_messages(table(spark, d, "inbound_emails")))
+    messages = mime.with_mime(spread(mime.render_messages(table(spark, d, "inbound_emails"))))
     found = mime.metadata(messages.select("id", "provider", "provider_message_id", "mime"))
     kept = found.select("provider", "provider_message_id", "internet_message_id", "sender_email", F.array_join("recipient_emails", ",").alias("recipients"), "email_body", "error_type")
     return kept
