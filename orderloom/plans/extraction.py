@@ -154,6 +154,11 @@ ORACLES = {
     "x3_x8_headers": """SELECT 'PO-' || o_orderkey AS document_id, 'PO-' || o_orderkey AS purchase_order_number, CAST(o_orderdate AS DATE) AS order_date, 'Client ' || o_custkey AS buyer_name,
         CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency, CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount
         FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "x3_x4_x5_candidates": """WITH n AS (SELECT count(*) FILTER (WHERE o_orderkey % 3 = 0) AS a, count(*) FILTER (WHERE o_orderkey % 3 = 1) AS b, count(*) FILTER (WHERE o_orderkey % 3 = 2) AS c
+        FROM orders JOIN customer ON o_custkey = c_custkey)
+        SELECT 'purchase_order_number' AS field, 0 AS priority, a + b AS n FROM n UNION ALL SELECT 'purchase_order_number', 1, c FROM n
+        UNION ALL SELECT 'order_date', 0, a + b FROM n UNION ALL SELECT 'order_date', 1, c FROM n UNION ALL SELECT 'buyer_name', 0, a + b + c FROM n
+        UNION ALL SELECT 'currency', 0, a + b FROM n UNION ALL SELECT 'total_amount', 0, 2 * a + b FROM n UNION ALL SELECT 'total_amount', 1, c FROM n""",
     "x9_x10_x19_x20_notes": """SELECT 'PO-' || o_orderkey AS document_id, 'supplier_name not found in document' AS warnings,
         CASE WHEN o_orderkey % 3 = 2 THEN 'buyer_name,order_date,purchase_order_number,total_amount' ELSE 'buyer_name,currency,order_date,purchase_order_number,total_amount' END AS evidence
         FROM orders JOIN customer ON o_custkey = c_custkey""",
