@@ -5,6 +5,7 @@ the distinctive word with the rest, and the whole name with an empty rest. Heads
 pigeonhole segment join: a head within k edits of another shares at least one of k + 1 segments
 with it, so segments are indexed and position-shifted substrings looked up; a banded edit distance
 verifies. Tails then decide: equal, one typo apart, abbreviated, a nickname, an initial or left out.
+Behind a head of many names only those tails are compared that share a key which one of these cases needs.
 """
 
 from __future__ import annotations
@@ -85,8 +86,11 @@ for _line in NICKNAME_LINES.strip().splitlines():
 
 #: Edits allowed between heads, and the length from which they are.
 EDITS, FUZZY_FROM = 1, 5
-#: Names that may share a head which is not the rarest one of its name.
+#: Names behind a head up to which they are compared each with each; behind more, tails meet by their keys.
+#: Either way finds the same pairs, so the number only decides how they are found.
 SHARED_HEAD = 8
+#: Letters from rare to frequent; others count as rarest.
+RARE_LETTERS = "jqxzwykvfpbghmcudlotnrsiae"
 
 
 def clean(name: str) -> tuple[str, str, bool]:
@@ -196,23 +200,80 @@ def tails_agree(a: str, b: str, company: bool) -> int:
     return 2 if abbreviates(short, long, company) else 0
 
 
-def head_pairs(heads: DataFrame, k: int = EDITS) -> DataFrame:
-    """Pigeonhole segment join of distinct strings: h, g within k edits, both directions and itself."""
+def given_names(tail: str) -> set[str]:
+    """Keys of the given names that a tail is a nickname of, or is, by at most one typo."""
+    near = {g for given in NICKNAMES.values() for g in given if g == tail or (len(tail) > 4 and within(g, tail, 1))}
+    return {f"n{g}" for g in near | NICKNAMES.get(tail, frozenset())}
+
+
+def tail_keys(tail: str) -> list[str]:
+    """Keys of a tail that is left out, an initial or the shorter of two: see ``tail_probes``."""
+    if not tail:
+        return ["=", "*"]
+    out = {f"={tail}"} | given_names(tail)
+    if len(tail) == 1:
+        out.add(f"^{tail}")
+    if len(tail) >= 3:
+        # an abbreviation keeps the first letter and its two rarest others in their order, or the first three letters
+        rest = sorted(sorted(range(1, len(tail)), key=lambda i: RARE_LETTERS.find(tail[i]))[:2])
+        out |= {f"<{tail[0]}{tail[rest[0]]}{tail[rest[1]]}", f"p{tail[:3]}"}
+    if len(tail) >= 4:
+        out |= {f"~{loose(tail)}", *segments(tail, EDITS)}
+    return sorted(out)
+
+
+def tail_probes(tail: str) -> list[str]:
+    """Keys that meet those of each tail which may agree with this one: of two tails that agree at least one finds the other."""
+    if not tail:
+        return ["="]
+    out = {f"={tail}", "*"} | given_names(tail)
+    if len(tail) > 1:
+        out.add(f"^{tail[0]}")
+    if len(tail) >= 4:
+        out |= {f"~{loose(tail)}", f"p{tail[:3]}", *probes(tail, EDITS)}
+        later: set[str] = set()
+        follow: dict[str, set[str]] = {}
+        for c in reversed(tail[1:]):
+            # what follows the first of equal letters holds what follows the others
+            follow[c] = set(later)
+            later.add(c)
+        out |= {f"<{tail[0]}{x}{y}" for x, ys in follow.items() for y in ys}
+    return sorted(out)
+
+
+def _keys(make) -> object:
+    """Array column of the keys that a function makes of a string."""
 
-    def keys(make) -> object:
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for values in batches:
-                yield pd.Series([make(v, k) for v in values], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            yield pd.Series([make(v) for v in values], dtype=object)
 
-        return F.pandas_udf(run, "array<string>")
+    return F.pandas_udf(run, "array<string>")
+
+
+def crowded_pairs(parts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """part_a, part_b (``part`` of two rows) behind heads of many names whose tails may agree, in both directions.
+
+    Work follows the keys of the tails, not the square of the names behind a head.
+    """
+    index = parts.select(F.col("head").alias("h"), F.col("part").alias("part_a"), F.explode(_keys(tail_keys)("tail")).alias("key"))
+    probe = parts.select(F.col("head").alias("g"), F.col("part").alias("part_b"), F.explode(_keys(tail_probes)("tail")).alias("key"))
+    index = pairs.select("h", "pair").join(index, "h").drop("h")
+    probe = pairs.select("g", "pair").join(probe, "g").drop("g")
+    met = index.join(probe, ["pair", "key"]).where("part_a <> part_b").select("part_a", "part_b").distinct()
+    return met.unionByName(met.select(F.col("part_b").alias("part_a"), F.col("part_a").alias("part_b"))).distinct()
+
+
+def head_pairs(heads: DataFrame, k: int = EDITS) -> DataFrame:
+    """Pigeonhole segment join of distinct strings: h, g within k edits, both directions and itself."""
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within(x, y, k) for x, y in zip(a, b, strict=True)])
 
     fuzzy = heads.where(F.length("head") >= FUZZY_FROM)
-    index = fuzzy.select(F.col("head").alias("h"), F.explode(keys(segments)("head")).alias("key"))
-    probe = fuzzy.select(F.col("head").alias("g"), F.explode(keys(probes)("head")).alias("key"))
+    index = fuzzy.select(F.col("head").alias("h"), F.explode(_keys(lambda v: segments(v, k))("head")).alias("key"))
+    probe = fuzzy.select(F.col("head").alias("g"), F.explode(_keys(lambda v: probes(v, k))("head")).alias("key"))
     met = index.join(probe, "key").where((F.col("h") < F.col("g")) & (F.levenshtein("h", "g", 2 * k) >= 0)).select("h", "g").distinct()
     found = cut_lineage(met.where(near("h", "g")))
     same = heads.select(F.col("head").alias("h"), F.col("head").alias("g"))
@@ -247,15 +308,17 @@ def name_classes(values: DataFrame) -> DataFrame:
     members = cut_lineage(members)
     nodes = members.groupBy("node").agg(F.first("form").alias("form"), F.sum("count").alias("weight"), F.max("company").alias("company"), F.collect_set("legal").alias("legals"))
     parts = nodes.withColumn("s", F.explode(F.pandas_udf(split_batches, "array<struct<head:string,tail:string,whole:boolean>>")("form")))
-    parts = cut_lineage(parts.select("node", "weight", "company", "legals", "s.*"))
+    parts = cut_lineage(parts.select("node", "weight", "company", "legals", "s.*", F.monotonically_increasing_id().alias("part")))
     shared = parts.groupBy("head").agg(F.count("*").alias("sharing"))
-    parts = parts.join(shared, "head")
-    rarest = parts.where("not whole").groupBy("node").agg(F.min("sharing").alias("least"))
-    parts = parts.join(rarest, "node", "left").where(f"whole or sharing <= {SHARED_HEAD} or sharing = least").drop("sharing", "least")
     pairs = head_pairs(parts.select("head").distinct())
-    a = parts.select(F.col("head").alias("h"), F.col("node").alias("node_a"), F.col("tail").alias("tail_a"), F.col("company").alias("company_a"), F.col("legals").alias("legals_a"))
-    b = parts.select(F.col("head").alias("g"), F.col("node").alias("node_b"), F.col("tail").alias("tail_b"), F.col("company").alias("company_b"), F.col("legals").alias("legals_b"), F.col("weight").alias("weight_b"))
-    met = a.join(pairs, "h").join(b, "g").where("node_a <> node_b")
+    pairs = pairs.join(shared.select(F.col("head").alias("h"), F.col("sharing").alias("sharing_h")), "h").join(shared.select(F.col("head").alias("g"), F.col("sharing").alias("sharing_g")), "g")
+    crowded = F.least("sharing_h", "sharing_g") > SHARED_HEAD
+    pairs = cut_lineage(pairs.select("h", "g", crowded.alias("crowded"), F.monotonically_increasing_id().alias("pair")))
+    a = parts.select(F.col("head").alias("h"), F.col("part").alias("part_a"), F.col("node").alias("node_a"), F.col("tail").alias("tail_a"), F.col("company").alias("company_a"), F.col("legals").alias("legals_a"))
+    b = parts.select(F.col("head").alias("g"), F.col("part").alias("part_b"), F.col("node").alias("node_b"), F.col("tail").alias("tail_b"), F.col("company").alias("company_b"), F.col("legals").alias("legals_b"), F.col("weight").alias("weight_b"))
+    met = a.join(pairs.where("not crowded").select("h", "g"), "h").join(b, "g")
+    keyed = a.join(crowded_pairs(parts, pairs.where("crowded")), "part_a").join(b, "part_b")
+    met = met.unionByName(keyed).where("node_a <> node_b")
     edges = met.withColumn("sure", agree("tail_a", "tail_b", F.col("company_a") | F.col("company_b"))).where("sure > 0")
     edges = edges.withColumn("legal_fits", F.arrays_overlap("legals_a", "legals_b"))
     edges = edges.groupBy("node_a", "node_b").agg(F.max("sure").alias("sure"), F.max("legal_fits").alias("legal_fits"), F.max("weight_b").alias("weight_b"))

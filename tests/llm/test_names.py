@@ -3,8 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from orderloom.llm import names
 from orderloom.llm.folding import within
-from orderloom.llm.names import clean, head_pairs, name_pairs, tails_agree
+from orderloom.llm.names import NICKNAMES, clean, head_pairs, name_pairs, tail_keys, tail_probes, tails_agree
 
 COMPANY = ["Pilsuplad Fasteners S.A.", "pilsuplad fasteners", "PILSUPLAD & CO. FASTENERS S.A.", "Pilsuplaad Fasteners S.A.", "M/s Pilsuplad Fa5teners SA", "Fasteners Pilsuplad S.A.", "PilsupladFasteners S.A.", "Pil suplad Fasteners", "Pilsuplad Fast. SA", "Pilsuplad S.A. - Accounts"]
 OTHER_LINE = ["Pilsuplad Optics Ltd", "Fa. Pilsuplad Optics Ltd"]
@@ -75,3 +76,30 @@ def test_odd_input(spark):
     assert name_pairs(spark.createDataFrame([], "supplier_name string, buyer_name string")).count() == 0
     odd = spark.createDataFrame([(v, None) for v in RELATIVE], "supplier_name string, buyer_name string").withColumns({c: F.lit("z") for c in ("name", "node", "form", "head", "class_id", "key", "weight")})
     assert name_pairs(odd).count() == 1
+
+
+LINES = ["Optics", "Castings", "Plastics", "Lubricants", "Verpackungen", "Hydraulics", "Textiles", "Bearings", "Instruments", "Gummiwerke"]
+
+
+def test_head_of_many_names_is_kept(spark):
+    assert pairs(spark, ["Pilsuplad Fasteners Ltd", "Pilsuplad Fstnrs Ltd", *(f"Pilsuplad {w}" for w in LINES)]) == [("Pilsuplad Fasteners Ltd", "Pilsuplad Fstnrs Ltd")]
+
+
+def test_many_names_behind_a_head_as_each_with_each(spark, monkeypatch):
+    people = [f"{g} Nilboftuf" for g in ("Edward", "Ned", "Edard", "E.", "Patricia", "Pat", "Christine", "Tina", "Krzys", "Jonathan", "Jon", "Oliver", "Ollie", "Zoe", "Zora")]
+    companies = [f"Dofpillad {w} AG" for w in (*LINES, "Optcs", "Hydr.", "Verpck", "Bearlngs", "Castigns", "Instrurnents")] + ["Dofpilad Optics", "Dofpillad Optics GmbH", "Dofpillad"]
+    common = [f"{w} Castings Ltd" for w in ("Vokmirt", "Vokmrt", "Zugkurzik", "Zugk", "Mukjexmirt", "Mebniljur", "Posrintel", "Posrintell", "Ladhozvand", "Tutfizdal", "Nukdanhoz")]
+    found = pairs(spark, people + companies + common)
+    monkeypatch.setattr(names, "SHARED_HEAD", 10**6)
+    assert found == pairs(spark, people + companies + common) and len(found) > 12
+
+
+def test_tails_that_agree_share_a_key():
+    rng = random.Random(11)
+    given = sorted({g for gs in NICKNAMES.values() for g in gs} | set(NICKNAMES))
+    tails = {"", "e", "w", "rnulen", "mulen", "fasteners", "fstnrs", "fast", "verpackungen", "verp"} | set(given)
+    tails |= {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(500)}
+    tails |= {w[:i] + w[i + 1 :] for w in given for i in range(len(w))}
+    keys, sought = {t: set(tail_keys(t)) for t in tails}, {t: set(tail_probes(t)) for t in tails}
+    agreed = [(a, b) for a in tails for b in tails for company in (False, True) if (a[:1] == b[:1] or rng.random() < 0.2) and tails_agree(a, b, company)]
+    assert len(agreed) > 5_000 and not [(a, b) for a, b in agreed if not (keys[a] & sought[b] or keys[b] & sought[a])]
