@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.folding import fold, loose, plain, within
-from orderloom.session import cut_lineage
+from orderloom.session import cut_lineage, spread
 
 # Legal forms, folded and without points, by code.
 LEGAL_LINES = """
@@ -256,10 +256,11 @@ def crowded_pairs(parts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Work follows the keys of the tails, not the square of the names behind a head.
     """
-    index = parts.select(F.col("head").alias("h"), F.col("part").alias("part_a"), F.explode(_keys(tail_keys)("tail")).alias("key"))
-    probe = parts.select(F.col("head").alias("g"), F.col("part").alias("part_b"), F.explode(_keys(tail_probes)("tail")).alias("key"))
-    index = pairs.select("h", "pair").join(index, "h").drop("h")
-    probe = pairs.select("g", "pair").join(probe, "g").drop("g")
+    # few bytes, much work: keys are made of the crowded rows only, in all tasks
+    index = spread(pairs.select(F.col("h").alias("head"), "pair").join(parts.select("head", "tail", "part"), "head"), "part")
+    probe = spread(pairs.select(F.col("g").alias("head"), "pair").join(parts.select("head", "tail", "part"), "head"), "part")
+    index = index.select("pair", F.col("part").alias("part_a"), F.explode(_keys(tail_keys)("tail")).alias("key"))
+    probe = probe.select("pair", F.col("part").alias("part_b"), F.explode(_keys(tail_probes)("tail")).alias("key"))
     met = index.join(probe, ["pair", "key"]).where("part_a <> part_b").select("part_a", "part_b").distinct()
     return met.unionByName(met.select(F.col("part_b").alias("part_a"), F.col("part_a").alias("part_b"))).distinct()
 
@@ -280,11 +281,40 @@ def head_pairs(heads: DataFrame, k: int = EDITS) -> DataFrame:
     return same.unionByName(found).unionByName(found.select(F.col("g").alias("h"), F.col("h").alias("g")))
 
 
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node and root of each node: the heaviest node that it is connected to (weight, then name).
+
+    ``nodes`` has node and weight, ``links`` a and b, nodes of it, in either order. Each round every root
+    points to its heaviest neighbour, pointers are followed to their ends, and links are carried over to
+    the ends, until none is left between two roots; each round leaves at most half of the linked roots.
+    """
+    rooted = nodes.select("node", F.struct("weight", "node").alias("root"))
+    ends = rooted.select(F.col("node").alias("a"), F.col("root").alias("x")), rooted.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    links = links.join(ends[0], "a").join(ends[1], "b").where("x <> y").select("x", "y")
+    links = cut_lineage(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    while not links.isEmpty():
+        up = cut_lineage(links.groupBy("x").agg(F.max("y").alias("to")).where("to > x"))
+        while True:
+            ahead = up.select(F.col("x").alias("to"), F.col("to").alias("end"))
+            if up.join(ahead, "to").isEmpty():
+                break
+            up = cut_lineage(up.join(ahead, "to", "left").select("x", F.coalesce("end", "to").alias("to")))
+        rooted = cut_lineage(rooted.join(up.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        for end in ("x", "y"):
+            moved = up.select(F.col("x").alias(end), F.col("to").alias("end"))
+            links = links.join(moved, end, "left").withColumn(end, F.coalesce("end", end)).drop("end")
+        links = cut_lineage(links.where("x <> y").distinct())
+    return rooted.select("node", F.col("root.node").alias("root"))
+
+
 def name_classes(values: DataFrame) -> DataFrame:
     """name and class_id for each distinct name of ``values`` (one column ``name``, rows may repeat).
 
     NULL and blank names stay out, as do names without a letter. A name whose rest is missing, an
-    initial or an ambiguous nickname joins a class only if just one fits it, by legal form if need be.
+    initial or an ambiguous nickname joins a class only if just one fits it, by legal form if need be,
+    and takes along the names that surely mean the same as it. Names that surely mean the same are one
+    class, over any number of steps, except lone words of different legal forms: these part where more
+    than one class fits the word.
     """
 
     def clean_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -315,29 +345,49 @@ def name_classes(values: DataFrame) -> DataFrame:
     crowded = F.least("sharing_h", "sharing_g") > SHARED_HEAD
     pairs = cut_lineage(pairs.select("h", "g", crowded.alias("crowded"), F.monotonically_increasing_id().alias("pair")))
     a = parts.select(F.col("head").alias("h"), F.col("part").alias("part_a"), F.col("node").alias("node_a"), F.col("tail").alias("tail_a"), F.col("company").alias("company_a"), F.col("legals").alias("legals_a"))
-    b = parts.select(F.col("head").alias("g"), F.col("part").alias("part_b"), F.col("node").alias("node_b"), F.col("tail").alias("tail_b"), F.col("company").alias("company_b"), F.col("legals").alias("legals_b"), F.col("weight").alias("weight_b"))
+    b = parts.select(F.col("head").alias("g"), F.col("part").alias("part_b"), F.col("node").alias("node_b"), F.col("tail").alias("tail_b"), F.col("company").alias("company_b"), F.col("legals").alias("legals_b"))
     met = a.join(pairs.where("not crowded").select("h", "g"), "h").join(b, "g")
     keyed = a.join(crowded_pairs(parts, pairs.where("crowded")), "part_a").join(b, "part_b")
     met = met.unionByName(keyed).where("node_a <> node_b")
     edges = met.withColumn("sure", agree("tail_a", "tail_b", F.col("company_a") | F.col("company_b"))).where("sure > 0")
     edges = edges.withColumn("legal_fits", F.arrays_overlap("legals_a", "legals_b"))
-    edges = edges.groupBy("node_a", "node_b").agg(F.max("sure").alias("sure"), F.max("legal_fits").alias("legal_fits"), F.max("weight_b").alias("weight_b"))
+    edges = edges.groupBy("node_a", "node_b").agg(F.max("sure").alias("sure"), F.max("legal_fits").alias("legal_fits"))
     edges = cut_lineage(edges)
-    strong = edges.where("sure = 2")
-    # each node points to its heaviest neighbour, or itself; two steps reach the usual spelling of the entity
-    own = nodes.select("node", F.struct("weight", F.col("node").alias("to")).alias("best"))
-    step = own.unionByName(strong.select(F.col("node_a").alias("node"), F.struct(F.col("weight_b").alias("weight"), F.col("node_b").alias("to")).alias("best")))
-    step = step.groupBy("node").agg(F.max("best")["to"].alias("to"))
-    onward = step.select(F.col("node").alias("to"), F.col("to").alias("root"))
-    rooted = step.join(onward, "to").select("node", "root")
-    weak = edges.where("sure = 1")
-    reach = weak.join(rooted.select(F.col("node").alias("node_b"), F.col("root")), "node_b").select("node_a", "root", "legal_fits").distinct()
-    reach = reach.groupBy("node_a").agg(
-        F.collect_set("root").alias("all"), F.collect_set(F.when(F.col("legal_fits"), F.col("root"))).alias("fitting")
-    )
-    only = F.when(F.size("all") == 1, F.col("all")[0]).when(F.size("fitting") == 1, F.col("fitting")[0])
-    weak_root = reach.select(F.col("node_a").alias("node"), only.alias("adopted")).where("adopted is not null")
-    final = rooted.join(weak_root, "node", "left").select("node", F.coalesce("adopted", "root").alias("root"))
+    # the legal form of a lone word is part of the identity, so another one leaves the link open until the end
+    sister = F.expr("instr(node_a, ' ') = 0 and instr(node_b, ' ') = 0 and not legal_fits")
+    weak, sisters = edges.where("sure = 1"), edges.where("sure = 2").where(sister)
+    own = nodes.select("node", "weight")
+    rooted = components(own, edges.where("sure = 2").where(~sister).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+    def between(links: DataFrame) -> DataFrame:
+        """Links with the roots of their ends as a and b, where these differ."""
+        ends = (rooted.toDF(f"node_{x}", x, f"placed_{x}") for x in "ab")
+        return links.join(next(ends), "node_a").join(next(ends), "node_b").where("a <> b").select("a", "b", "legal_fits")
+
+    def merged(links: DataFrame) -> DataFrame:
+        """Nodes with their roots after links between roots a and b."""
+        joined = components(own, links.select("a", "b")).toDF("root", "top")
+        return cut_lineage(rooted.join(joined, "root").select("node", F.col("top").alias("root"), "placed"))
+
+    rooted = rooted.withColumn("placed", F.lit(False))
+    # a class that joins another may leave just one to a third: until no class finds a place
+    while True:
+        unplaced = rooted.where("not placed").select(F.col("node").alias("node_a"))
+        reach = between(weak.join(unplaced, "node_a")).groupBy("a").agg(F.collect_set("b").alias("all"), F.collect_set(F.when(F.col("legal_fits"), F.col("b"))).alias("fitting"))
+        only = F.when(F.size("all") == 1, F.col("all")[0]).when(F.size("fitting") == 1, F.col("fitting")[0])
+        reach = cut_lineage(reach.select("a", only.alias("b")))
+        adopted = reach.where("b is not null")
+        if adopted.isEmpty():
+            break
+        rooted = rooted.join(adopted.select(F.col("a").alias("root"), F.lit(True).alias("now")), "root", "left").select("node", "root", F.expr("placed or now is not null").alias("placed"))
+        rooted = merged(adopted)
+    # lone words of other legal forms: those without a place go together, and to a class if it is the only one
+    several = rooted.join(reach.select(F.col("a").alias("root"), F.lit(True).alias("several")), "root", "left")
+    kinds = cut_lineage(several.select("node", F.expr("case when placed then 'placed' when several then 'several' else 'free' end").alias("kind")))
+    sisters = sisters.join(kinds.toDF("node_a", "kind_a"), "node_a").join(kinds.toDF("node_b", "kind_b"), "node_b")
+    rooted = merged(between(sisters.where("kind_a = kind_b and kind_a <> 'placed'")))
+    free = between(sisters.where("kind_a = 'free' and kind_b <> 'free'")).groupBy("a").agg(F.collect_set("b").alias("all"))
+    final = merged(free.where("size(all) = 1").select("a", F.col("all")[0].alias("b")))
     return members.join(final, "node").select("name", F.xxhash64("root").alias("class_id"))
 
 

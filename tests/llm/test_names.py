@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm import names
 from orderloom.llm.folding import within
-from orderloom.llm.names import NICKNAMES, clean, head_pairs, name_pairs, tail_keys, tail_probes, tails_agree
+from orderloom.llm.names import NICKNAMES, clean, components, head_pairs, name_pairs, tail_keys, tail_probes, tails_agree
 
 COMPANY = ["Pilsuplad Fasteners S.A.", "pilsuplad fasteners", "PILSUPLAD & CO. FASTENERS S.A.", "Pilsuplaad Fasteners S.A.", "M/s Pilsuplad Fa5teners SA", "Fasteners Pilsuplad S.A.", "PilsupladFasteners S.A.", "Pil suplad Fasteners", "Pilsuplad Fast. SA", "Pilsuplad S.A. - Accounts"]
 OTHER_LINE = ["Pilsuplad Optics Ltd", "Fa. Pilsuplad Optics Ltd"]
@@ -103,3 +103,37 @@ def test_tails_that_agree_share_a_key():
     keys, sought = {t: set(tail_keys(t)) for t in tails}, {t: set(tail_probes(t)) for t in tails}
     agreed = [(a, b) for a in tails for b in tails for company in (False, True) if (a[:1] == b[:1] or rng.random() < 0.2) and tails_agree(a, b, company)]
     assert len(agreed) > 5_000 and not [(a, b) for a, b in agreed if not (keys[a] & sought[b] or keys[b] & sought[a])]
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(5)
+    size = 400
+    links = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [(f"n{rng.randrange(100, size)}", f"n{rng.randrange(100, size)}") for _ in range(130)]
+    weight = {f"n{i}": i if i < 30 else rng.randrange(5) for i in range(size)}
+    group = {n: {n} for n in weight}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for n in group[b]:
+                group[n] = group[a]
+    found = components(spark.createDataFrame(list(weight.items()), "node string, weight bigint"), spark.createDataFrame(links, "a string, b string"))
+    assert dict(map(tuple, found.collect())) == {n: max((weight[m], m) for m in group[n])[1] for n in weight}
+
+
+def test_spellings_in_a_chain_are_one_entity(spark):
+    chain = ["Edward Nilboftuf", "Edward Nilbofuf", "Edward Nilbouf", "Edward Nilbof", "Edward Nibof"]
+    rising = [v for k, v in enumerate(chain) for _ in range(k + 1)]
+    valley = [v for v, n in zip(chain, (5, 1, 3, 1, 5), strict=True) for _ in range(n)]
+    assert pairs(spark, rising) == sorted(all_pairs(sorted(chain))) == pairs(spark, valley)
+
+
+def test_what_joins_a_class_takes_its_own_spellings_along(spark):
+    # the lone word two edits from the company is the same as the one that is one edit from it
+    values = ["Dofpillad Castings AG", "Dofpilad", "Dofpilad", "Dofpild"]
+    assert pairs(spark, values) == sorted(all_pairs(sorted(set(values))))
+
+
+def test_lone_words_of_two_legal_forms_keep_their_companies_apart(spark):
+    values = ["Dofpillad Castings AG", "Dofpillad Plastics KG", "Dofpillad", "Dofpillad KG", "Dofpillad AG"]
+    assert pairs(spark, values) == [("Dofpillad AG", "Dofpillad Castings AG"), ("Dofpillad KG", "Dofpillad Plastics KG")]
+    assert pairs(spark, ["Dofpillad", "Dofpillad KG"]) == [("Dofpillad", "Dofpillad KG")]
