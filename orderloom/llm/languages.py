@@ -33,6 +33,8 @@ LANGUAGES = tuple(line.split()[0] for line in LABEL_LINES.strip().splitlines())
 
 #: Labelled documents of each language that the models are fitted on, and those of fewest letters among them.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 150
+#: First sentences of each of them that the models are fitted on, so that no long text outweighs the others.
+SAMPLE_SENTENCES = 40
 BUCKETS = 1 << 17
 ORDERS = (2, 3, 4)
 #: n-grams overlap, so log likelihoods count by this factor; a further language must gain more than PENALTY.
@@ -175,13 +177,13 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
 def fit_model(sample: list[tuple[str, str]]) -> Model:
     """Models from labelled texts of which a minority may be labelled wrongly or mixed.
 
-    After each fit every sentence takes the language that it is likeliest in and the models are
+    Of each text the first SAMPLE_SENTENCES sentences count. After each fit every sentence takes the language that it is likeliest in and the models are
     fitted again; labels only start the process.
     """
     texts: list[str] = []
     langs: list[int] = []
     for code, text in sorted(sample):
-        own = sentences(text)[:40]
+        own = sentences(text)[:SAMPLE_SENTENCES]
         texts += own
         langs += [LANGUAGES.index(code)] * len(own)
     labels = np.array(langs, dtype=np.int64)
