@@ -9,7 +9,7 @@ from orderloom.llm.encode import encode_texts, share_vocabulary
 from orderloom.llm.languages import label_cases, language_segments
 from orderloom.llm.names import name_pairs
 from orderloom.llm.newtext import new_lines
-from orderloom.llm.packing import pack_documents
+from orderloom.llm.packing import fill_report, pack_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), share_vocabulary(spark))
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p7_packed(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_cases(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_segments": p8_segments}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracles() -> dict[str, str]:
