@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import string
+from functools import cache
+
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,19 +170,38 @@ def values_match(field: ColumnLike, expected: ColumnLike, actual: ColumnLike) ->
     return F.when(e.isNull() | a.isNull(), e.isNull() & a.isNull()).otherwise(F.coalesce(same, F.lit(False)))
 
 
+@cache
+def label_patterns() -> tuple[tuple[str, tuple[tuple[int, str, str], ...]], ...]:
+    """Label patterns (place, field, pattern) by the letters that they may begin with, for each letter that begins any."""
+    patterns = [(i, field, p) for i, (field, p) in enumerate((field, p) for field, ps in vocab.HEADER_LABELS for p in ps)]
+    begins = {letter: tuple(x for x in patterns if regex.fullmatch(x[2], letter, regex.IGNORECASE, partial=True)) for letter in string.ascii_lowercase}
+    return tuple((letter, found) for letter, found in begins.items() if found)
+
+
 def match_label(c: ColumnLike) -> Column:
-    """struct(field, rest) of the longest label that a text starts with, NULL if there is none."""
-    patterns = [(field, p) for field, ps in vocab.HEADER_LABELS for p in ps]
-
-    def longest(text: Column) -> Column:
-        hits = [
-            F.struct(F.length(F.regexp_extract(ascii_spaces(text), rf"(?i)^\s*(?:{p})(?=$|[\s:#])", 0)).alias("n"), F.lit(-i).alias("i"), F.lit(field).alias("field"))
-            for i, (field, p) in enumerate(patterns)
-        ]
-        best = F.greatest(*hits)
-        rest = lambda b: strip(F.regexp_replace(F.substring(text, b["n"] + 1, F.length(text)), r"(?U)^\s*(?:[:#]|[-–](?=\s))?\s*", ""))
-        return let(best, lambda b: F.when(b["n"] > 0, F.struct(b["field"].alias("field"), rest(b).alias("rest"))))
-
-    # most texts start with no label: one pattern of all sorts them out before the longest is sought
-    any_label = rf"(?i)^\s*(?:{'|'.join(p for _, p in patterns)})(?=$|[\s:#])"
-    return let(strip_markdown(c), lambda text: F.when(ascii_spaces(text).rlike(any_label), longest(text)))
+    """struct(field, rest) of the longest label that a text starts with, NULL if there is none.
+
+    Of labels of one length the first in the list counts. Only patterns that may begin with the
+    text's first letter are tried.
+    """
+
+    def longest(text: Column, patterns: tuple[tuple[int, str, str], ...]) -> Column:
+        hits = [F.struct(F.length(F.regexp_extract(text, rf"(?i)^\s*(?:{p})(?=$|[\s:#])", 0)).alias("n"), F.lit(-i).alias("i"), F.lit(field).alias("field")) for i, field, p in patterns]
+        return F.greatest(*hits) if len(hits) > 1 else hits[0]
+
+    def found(text: Column, letter: Column) -> Column:
+        cases = F.when(~letter.between("a", "z"), None)
+        for key, patterns in label_patterns():
+            # most texts start with no label: one pattern of all sorts them out before the longest is sought
+            of_letter = rf"(?i)^\s*(?:{'|'.join(p for _, _, p in patterns)})(?=$|[\s:#])"
+            cases = cases.when(letter == key, F.when(text.rlike(of_letter), longest(text, patterns)))
+        return cases
+
+    def labelled(text: Column, best: Column) -> Column:
+        rest = strip(F.regexp_replace(F.substring(text, best["n"] + 1, F.length(text)), r"(?U)^\s*(?:[:#]|[-–](?=\s))?\s*", ""))
+        return F.when(best["n"] > 0, F.struct(best["field"].alias("field"), rest.alias("rest")))
+
+    text_of = F.when(col(c).rlike("[*_#`-]"), strip_markdown(c)).otherwise(strip(c))
+    begin = lambda plain: F.translate(F.substring(F.ltrim(plain), 1, 1), string.ascii_uppercase, string.ascii_lowercase)
+    best_of = lambda text: let(ascii_spaces(text), lambda plain: let(begin(plain), lambda letter: found(plain, letter)))
+    return let(text_of, lambda text: let(best_of(text), lambda best: labelled(text, best)))

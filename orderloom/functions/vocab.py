@@ -1,5 +1,6 @@
 """Fixed values that results depend on."""
 
+# Fixed value: what counts as an e-mail address.
 EMAIL_PATTERN = r"[A-Za-z0-9._%+'-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 # ISO 4217 codes that are recognised in text.
@@ -58,6 +59,7 @@ HEADER_LABELS = (
     )),
 )
 
+# Fields by the kind of their values.
 PARTY_FIELDS = ("supplier_name", "buyer_name")
 ADDRESS_FIELDS = ("supplier_address", "buyer_address", "ship_to_address", "bill_to_address")
 MONEY_FIELDS = ("subtotal", "tax", "shipping", "total_amount")
@@ -89,6 +91,7 @@ ITEM_COLUMNS = (
         r"(?:requested\s+)?ship\s+date", r"delivery",
     )),
 )
+# Fixed value: the heading that may mean a number, a part or a description.
 ITEM_HEADING = r"item"
 
 # Fixed value: endings of company names.
@@ -96,3 +99,11 @@ COMPANY_SUFFIX = (
     r"(?:inc|incorporated|ltd|limited|llc|l\.l\.c|corp|corporation|co|company|gmbh|ag|plc|s\.?r\.?l|s\.?a|b\.?v|n\.?v"
     r"|pvt\.?\s+ltd|pty\.?\s+ltd|kg|oy|ab|as|sas|spa|s\.p\.a)\.?"
 )
+
+# Texts of warnings and of evidence without a place.
+LETTERHEAD_WARNING = "buyer_name taken from document letterhead (no explicit buyer label)"
+DOLLAR_WARNING = "currency symbol '$' found but ambiguous (USD/CAD/AUD...); currency left empty"
+MISSING_WARNING = "not found in document"
+NUMBERS_WARNING = "line numbers not present in document; assigned sequentially by row order"
+NO_ITEMS_WARNING = "no line items found"
+BODY_CURRENCY = "currency code/symbol found in document body"

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions.orders import match_label
-from orderloom.functions.text import strip
-from orderloom.session import cut_lineage, spread
+from orderloom.functions.text import let, strip
+from orderloom.session import spread
 
 PARSED_SCHEMA = (
     "document_id string, parser string, page_count int, markdown string, text_blocks array<string>, "
@@ -17,53 +15,32 @@ PARSED_SCHEMA = (
 )
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """document_id, line_no, line, label (struct or NULL) of the non-blank lines of all text blocks."""
-    lines = F.filter(F.flatten(F.transform("text_blocks", lambda b: F.split(b, "\n"))), lambda x: strip(x) != "")
-    exploded = docs.select("document_id", F.posexplode(lines).alias("line_no", "line"))
-    return exploded.withColumn("label", match_label("line"))
-
-
-def rows_of(docs: DataFrame) -> DataFrame:
-    """document_id, t, r, row, below (the next row or NULL) of all table rows."""
-    tables = docs.select("document_id", F.posexplode("tables").alias("t", "table"))
-    rows = tables.select("document_id", "t", "table", F.posexplode("table.rows").alias("r", "row"))
-    return rows.select("document_id", "t", "r", "row", F.get("table.rows", F.col("r") + 1).alias("below"))
+def lines_of(blocks: Column) -> Column:
+    """Array of struct(line, label) of the non-blank lines of all text blocks; label is NULL where there is none."""
+    every = F.flatten(F.transform(F.coalesce(blocks, F.array().cast("array<string>")), lambda b: F.split(F.coalesce(b, F.lit("")), "\n")))
+    return F.transform(F.filter(every, lambda x: strip(x) != ""), lambda x: F.struct(x.alias("line"), match_label(x).alias("label")))
 
 
-def labels_of(rows: DataFrame) -> DataFrame:
-    """document_id, t, r, c, cell, label of the cells that are labels, with the values beside and below.
-
-    right and under are structs (text, stop): the next cell that is not blank and the cell below, and
-    whether they are labels themselves. Neighbours are looked up for labels only, within the row at hand.
-    """
-    # inside one expression: as a column and a filter Catalyst would match each cell twice
-    stripped = lambda x: strip(F.coalesce(x, F.lit("")))
-    cell = lambda x, i: F.struct(i.alias("c"), x.alias("cell"), match_label(x).alias("label"))
-    found = F.filter(F.transform(F.transform("row", stripped), cell), lambda s: s["label"].isNotNull())
-    cells = rows.select("document_id", "t", "r", "row", "below", F.explode(found).alias("f")).select("document_id", "t", "r", "row", "below", "f.*")
-    ahead = F.filter(F.transform(F.slice("row", F.col("c") + 2, F.size("row")), lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != "")
-    cells = cells.withColumns({"_right": F.get(ahead, F.lit(0)), "_under": strip(F.get("below", "c"))})
-    facing = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("text"), match_label(c).isNotNull().alias("stop")))
-    return cells.select("document_id", "t", "r", "c", "cell", "label", facing("_right").alias("right"), facing("_under").alias("under"))
+def grid_of(table: Column) -> Column:
+    """struct(rows, labels) of one table: stripped cells, and struct(r, c, cell, label) of those that are labels."""
 
+    def labels(rows: Column) -> Column:
+        in_row = lambda row, r: F.filter(F.transform(row, lambda x, c: F.struct(r.alias("r"), c.alias("c"), x.alias("cell"), match_label(x).alias("label"))), lambda s: s["label"].isNotNull())
+        return F.flatten(F.transform(rows, in_row))
 
-class Labelled(NamedTuple):
-    """Documents with their lines, rows and label cells, labels matched once."""
+    rows = F.transform(table["rows"], lambda row: F.transform(F.coalesce(row, F.array().cast("array<string>")), lambda x: strip(F.coalesce(x, F.lit("")))))
+    return let(F.coalesce(rows, F.array().cast("array<array<string>>")), lambda r: F.struct(r.alias("rows"), labels(r).alias("labels")))
 
-    docs: DataFrame
-    lines: DataFrame
-    rows: DataFrame
-    labels: DataFrame
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """document_id, text_blocks, lines, grids: the documents with their labels, matched once for all that follows.
 
-def labelled(docs: DataFrame | Labelled) -> Labelled:
-    """Lines and label cells are each read several times by the extraction, so they are written once."""
-    if isinstance(docs, Labelled):
+    All of it is local to a row: nothing is exchanged or written, whatever is extracted later.
+    """
+    if "grids" in docs.columns:
         return docs
-    docs = cut_lineage(spread(docs, "document_id"))
-    rows = rows_of(docs)
-    return Labelled(docs, cut_lineage(lines_of(docs)), rows, cut_lineage(labels_of(rows)))
+    tables = F.coalesce("tables", F.array().cast("array<struct<page_no:int,rows:array<array<string>>>>"))
+    return docs.select("document_id", F.coalesce("text_blocks", F.array().cast("array<string>")).alias("text_blocks"), lines_of(F.col("text_blocks")).alias("lines"), F.transform(tables, grid_of).alias("grids"))
 
 
 def table_markdown(rows: Column) -> Column:
@@ -91,6 +68,8 @@ def render_orders(orders: DataFrame, lines: DataFrame, customers: DataFrame) ->
     )
     grouped = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey).join(grouped, "o_orderkey", "left")
+    # reading the documents is far more work than these few bytes suggest
+    joined = spread(joined, "o_orderkey")
     # not the stored name, which reads like a label itself ("Customer#1")
     joined = joined.withColumn("client", F.concat(F.lit("Client "), F.col("c_custkey").cast("string")))
     items = F.coalesce("items", F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,l_quantity:double,l_extendedprice:double,l_discount:double,l_tax:double,l_shipdate:timestamp_ntz>>"))
@@ -135,3 +114,64 @@ def render_orders(orders: DataFrame, lines: DataFrame, customers: DataFrame) ->
         number.alias("document_id"), F.lit("render").alias("parser"), F.lit(1).alias("page_count"), F.lit(None).cast("string").alias("markdown"),
         blocks.alias("text_blocks"), tables.alias("tables"),
     )
+
+
+def render_letters(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Parsed documents made from order tables, in two fuller layouts by order key: letters with parties and all header fields.
+
+    Layout 0 has a letterhead instead of a buyer, the supplier in one line, an address of several lines,
+    bare dollars, and items under the ambiguous heading, with units, wrapped descriptions, a row of
+    zeros and totals in their own rows. Layout 1 has party blocks, an explicit buyer address before
+    them, the rest in a table of labels, its currency in a sentence, headings that repeat among the
+    items and no line numbers.
+    """
+    key, buyer, seller = F.col("o_orderkey"), F.col("o_custkey").cast("string"), (F.col("o_custkey") % 100).cast("string")
+    number = F.concat(F.lit("PO-"), key.cast("string"))
+    goods = F.col("o_totalprice").cast("decimal(18,2)")
+    tax, freight = (key % 1000 / 100).cast("decimal(18,2)"), (key % 40).cast("decimal(18,2)")
+    money = lambda c, sign="": F.concat(F.lit(sign), F.format_number(c, 2))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    grouped = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    joined = spread(orders.join(grouped, "o_orderkey"), "o_orderkey")
+    day = F.col("o_orderdate").cast("date")
+    due = F.date_add(day, 14)
+    words = lambda *xs: F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    text = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    part = lambda x: text("P-", x["l_partkey"].cast("string"))
+    name = lambda x: text("Part ", x["l_partkey"].cast("string"))
+    count = lambda x: x["l_quantity"].cast("int").cast("string")
+    price = lambda x: money(x["l_extendedprice"] / x["l_quantity"])
+    none = F.array().cast("array<array<string>>")
+
+    head0 = words("Item", "Part No.", "Description", "Qty", "UOM", "Unit Price", "Amount")
+    wrapped = lambda x: F.when(x["l_partkey"] % 3 == 0, F.array(words("", "", text("(lot ", x["l_suppkey"].cast("string"), ")"), "", "", "", ""))).otherwise(none)
+    row0 = lambda x, i: words(((i + 1) * 10).cast("string"), part(x), name(x), count(x), "pc", price(x), money(x["l_extendedprice"]))
+    body0 = F.flatten(F.transform("items", lambda x, i: F.concat(F.array(row0(x, i)), wrapped(x))))
+    total0 = lambda label, value: words("", "", "", "", "", label, money(value, "$"))
+    table0 = F.concat(
+        F.array(head0), body0, F.array(words("", "", "", "0", "", "0.00", "0.00"), total0("Subtotal", goods), total0("Sales Tax 8%", tax), total0("Freight", freight), total0("Total Due", goods + tax + freight)),
+    )
+    text0 = F.array(
+        text("Client ", buyer, " Trading Inc.\n", buyer, " Industrial Way, Springfield, IL 62701\nPURCHASE ORDER"),
+        text("PO No.: ", number, "\nPO Date: ", F.date_format(day, "MM/dd/yyyy"), "\nVendor: Maker ", seller, " Ltd, ", seller, " Quay Road, Leeds\nVendor E-mail: Sales@S", seller, ".example"),
+        text("Need By: ", due.cast("string"), "\nPayment Terms: Net 30\nIncoterms: CIF Rotterdam\nShip To:\nDock 3\n", buyer, " Harbour Street\nSpringfield"),
+    )
+    head1 = words("Item", "Description", "Qty", "Price", "Total Price")
+    again = lambda x: F.when(x["l_partkey"] % 5 == 0, F.array(head1)).otherwise(none)
+    row1 = lambda x: words(part(x), name(x), text(count(x), " pk"), price(x), money(x["l_extendedprice"]))
+    table1 = F.concat(F.array(head1), F.flatten(F.transform("items", lambda x: F.concat(F.array(row1(x)), again(x)))))
+    pairs1 = F.array(
+        words("Requested Delivery Date", F.date_format(due, "d MMM yyyy"), "Terms of Payment", "Net 45"), words("Freight Terms", "DDP Leeds", "Carriage", money(freight)),
+        words("VAT 19%", money(tax), "Net Amount", money(goods)), words("Grand Total", money(goods + tax + freight)),
+    )
+    text1 = F.array(
+        text("Purchase Order\nOrder Number: ", number, "\nIssue Date\n", F.date_format(day, "dd.MM.yyyy"), "\nBuyer Address: ", buyer, " Elm Road, York"),
+        text("Buyer:\nClient ", buyer, " Ltd\n1 Other Street\nLondon"), text("Supplier:\nMaker ", seller, " GmbH\nHafenstrasse ", seller, "\n20457 Hamburg\nsales@s", seller, ".example"),
+        text("Bill To: Client ", buyer, " Ltd, Box ", buyer, "\nNotes\nAll prices in CHF."),
+    )
+    first = key % 2 == 0
+    grid = lambda rows: F.struct(F.lit(1).alias("page_no"), rows.alias("rows"))
+    return joined.select(
+        number.alias("document_id"), F.lit("render").alias("parser"), F.lit(1).alias("page_count"), F.lit(None).cast("string").alias("markdown"),
+        F.when(first, text0).otherwise(text1).alias("text_blocks"), F.when(first, F.array(grid(table0))).otherwise(F.array(grid(pairs1), grid(table1))).alias("tables"),
+    )

@@ -1,8 +1,11 @@
-"""Order header fields of parsed documents: label candidates from text and tables, resolved by rank."""
+"""Order header fields of parsed documents: label candidates from text and tables, resolved by rank.
+
+All of it is local to a document's row: array expressions, no exchange.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions import vocab
@@ -16,161 +19,183 @@ from orderloom.functions.orders import (
     split_party,
     strip_markdown,
 )
-from orderloom.functions.text import blank_to_null, clean_inline, detect_currency, normalize_email, strip
-from orderloom.operators.documents import Labelled, labelled
-from orderloom.operators.items import item_tables, line_items, totals_rows
+from orderloom.functions.text import blank_to_null, clean_inline, detect_currency, let, normalize_email, strip
+from orderloom.operators.documents import labelled
+from orderloom.operators.items import item_tables, with_items
 
 HEADER_FIELDS = tuple(f for f, _ in vocab.HEADER_LABELS)
 BLOCK_FIELDS = (*vocab.PARTY_FIELDS, *vocab.ADDRESS_FIELDS)
-CANDIDATE = ("document_id", "seq", "field", "value", "evidence", "priority")
-
-
-def text_candidates(docs: DataFrame | Labelled) -> DataFrame:
-    """Values on or below label lines: the rest of the line first, then the next line that is no label."""
-    ahead = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(1, 4)
-    lines = labelled(docs).lines.withColumn("next", F.collect_list(F.struct(F.col("label").isNotNull().alias("stop"), strip_markdown("line").alias("text"))).over(ahead))
-    stop = F.array_position(F.transform("next", lambda x: x["stop"]), F.lit(True)).cast("int")
-    following = F.transform(F.slice("next", F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size("next"))), lambda x: x["text"])
-    hits = lines.where("label is not null").withColumn("following", following)
-    block = F.col("label.field").isin(*BLOCK_FIELDS)
-    inline = F.when((F.col("label.rest") == "") & block, F.array_join("following", "\n")).otherwise(F.col("label.rest"))
-    below = F.when(~block & (F.size("following") > 0), F.get("following", F.lit(0)))
-    evidence = strip(F.col("line"))
-    options = F.array(
-        F.struct(F.lit(0).alias("priority"), blank_to_null(inline).alias("value"), evidence.alias("evidence")),
-        F.struct(F.lit(1).alias("priority"), below.alias("value"), F.concat_ws(" / ", evidence, below).alias("evidence")),
-    )
-    found = hits.select("document_id", "line_no", F.col("label.field").alias("field"), F.explode(options).alias("o"))
-    seq = F.struct(F.lit(0).alias("part"), F.lit(0).alias("t"), F.col("line_no").alias("r"), F.lit(0).alias("c"), F.col("o.priority").alias("k"))
-    # a label without a value still says where its field was first met
-    return found.where("o.priority = 0 or o.value is not null").select("document_id", seq.alias("seq"), "field", "o.value", "o.evidence", "o.priority")
 
 
-def table_candidates(docs: DataFrame | Labelled) -> DataFrame:
+def _until_stop(ahead: Column) -> Column:
+    """Texts of array<struct<stop,text>> before the first that stops."""
+    texts = lambda a: F.transform(a, lambda x: x["text"])
+    return let(F.array_position(F.transform(ahead, lambda x: x["stop"]), F.lit(True)).cast("int"), lambda n: texts(F.when(n > 0, F.slice(ahead, F.lit(1), n - 1)).otherwise(ahead)))
+
+
+def text_candidates(lines: Column) -> Column:
+    """Values on or below label lines: the rest of the line first, then the next line that is no label.
+
+    Array of struct(field, value, evidence, priority) in order of place; a label without a value is
+    kept with NULL, as it says where its field was first met.
+    """
+
+    def found(x: Column, i: Column) -> Column:
+        field, rest, evidence = x["label"]["field"], x["label"]["rest"], strip(x["line"])
+        block = field.isin(*BLOCK_FIELDS)
+        ahead = F.transform(F.slice(lines, i + 2, 4), lambda y: F.struct(y["label"].isNotNull().alias("stop"), strip_markdown(y["line"]).alias("text")))
+
+        def options(following: Column) -> Column:
+            inline = F.when((rest == "") & block, F.array_join(following, "\n")).otherwise(rest)
+            below = F.when(~block, F.get(following, F.lit(0)))
+            first = F.struct(field.alias("field"), blank_to_null(inline).alias("value"), evidence.alias("evidence"), F.lit(0).alias("priority"))
+            second = F.struct(field.alias("field"), blank_to_null(below).alias("value"), F.concat_ws(" / ", evidence, below).alias("evidence"), F.lit(1).alias("priority"))
+            return F.filter(F.array(first, second), lambda o: (o["priority"] == 0) | o["value"].isNotNull())
+
+        return let(_until_stop(ahead), options)
+
+    none = F.array().cast("array<struct<field:string,value:string,evidence:string,priority:int>>")
+    return F.flatten(F.transform(lines, lambda x, i: F.when(x["label"].isNotNull(), found(x, i)).otherwise(none)))
+
+
+def table_candidates(parts: Column) -> Column:
     """Values in, right of or below label cells; of item tables only the totals rows count, if there are any."""
-    _, _, rows, labels = labelled(docs)
-    masks = item_tables(rows, labels).select("document_id", "t").join(totals_rows(labels), ["document_id", "t"])
-    seen = labels.join(masks, ["document_id", "t"], "left").where("totals is null or array_contains(totals, r)")
-    right = F.when(~F.col("right.stop"), F.col("right.text"))
-    below = F.when(right.isNull() & ~F.col("under.stop"), blank_to_null(F.col("under.text")))
-    options = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit(0).alias("priority"), blank_to_null(F.col("label.rest")).alias("value"), F.col("cell").alias("evidence")),
-        F.struct(F.lit(1).alias("k"), F.lit(0).alias("priority"), right.alias("value"), F.concat_ws(" | ", "cell", right).alias("evidence")),
-        F.struct(F.lit(2).alias("k"), F.lit(1).alias("priority"), below.alias("value"), F.concat_ws(" / ", "cell", below).alias("evidence")),
-    )
-    found = seen.select("document_id", "t", "r", "c", F.col("label.field").alias("field"), F.explode(options).alias("o")).where("o.value is not null")
-    seq = F.struct(F.lit(1).alias("part"), "t", "r", "c", F.col("o.k").alias("k"))
-    return found.select("document_id", seq.alias("seq"), "field", "o.value", "o.evidence", "o.priority")
+
+    def found(p: Column, x: Column) -> Column:
+        stops = lambda r, c: F.exists(p["labels"], lambda y: (y["r"] == r) & (y["c"] == c))
+        field, cell, row = x["label"]["field"], x["cell"], F.get(p["rows"], x["r"])
+        beside = F.get(F.filter(F.transform(row, lambda v, c: F.struct(c.alias("c"), v.alias("v"))), lambda s: (s["c"] > x["c"]) & (s["v"] != "")), F.lit(0))
+
+        def options(b: Column) -> Column:
+            right = F.when(b.isNotNull() & ~stops(x["r"], b["c"]), b["v"])
+            under = blank_to_null(F.get(F.get(p["rows"], x["r"] + 1), x["c"]))
+            below = F.when(right.isNull() & ~stops(x["r"] + 1, x["c"]), under)
+            option = lambda value, evidence, priority: F.struct(field.alias("field"), value.alias("value"), evidence.alias("evidence"), F.lit(priority).alias("priority"))
+            every = F.array(
+                option(blank_to_null(x["label"]["rest"]), cell, 0), option(right, F.concat_ws(" | ", cell, right), 0), option(below, F.concat_ws(" / ", cell, below), 1),
+            )
+            return F.filter(every, lambda o: o["value"].isNotNull())
+
+        return let(beside, options)
+
+    def of_table(p: Column) -> Column:
+        seen = F.filter(p["labels"], lambda x: p["header_r"].isNull() | (F.size(p["totals"]) == 0) | F.array_contains(p["totals"], x["r"]))
+        return F.flatten(F.transform(seen, lambda x: found(p, x)))
+
+    return F.flatten(F.transform(parts, of_table))
+
+
+def candidates_of(docs: DataFrame) -> DataFrame:
+    """Adds ``candidates``: those of the text, then those of the tables."""
+    both = let(F.col("lines"), lambda lines: F.concat(text_candidates(lines), table_candidates(F.col("parts"))))
+    return item_tables(docs).withColumn("candidates", both)
 
 
 def typed_value(field: Column, value: Column, date_order: str) -> Column:
     """struct of the value as text and what a party block says beside its name; text NULL if unusable."""
-    party = split_party(value)
+
+    def party(block: Column) -> Column:
+        return F.struct(block["name"].alias("text"), block["address"].alias("address"), block["email"].alias("email"))
+
     text = (
         F.when(field == "purchase_order_number", po_number(value))
         .when(field.isin(*vocab.DATE_FIELDS), parse_date(value, date_order).cast("string"))
         .when(field.isin(*vocab.MONEY_FIELDS), last_money(value).cast("string"))
         .when(field == "currency", detect_currency(value))
         .when(field == "supplier_email", normalize_email(value))
-        .when(field.isin(*vocab.PARTY_FIELDS), party["name"])
         .when(field.isin(*vocab.ADDRESS_FIELDS), address_line(value))
         .otherwise(clean_inline(value))
     )
-    beside = F.when(field.isin(*vocab.PARTY_FIELDS), party)
-    return F.struct(text.alias("text"), beside["address"].alias("address"), beside["email"].alias("email"))
+    alone = lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("address"), F.lit(None).cast("string").alias("email"))
+    return F.when(field.isin(*vocab.PARTY_FIELDS), let(split_party(value), party)).otherwise(let(text, alone))
 
 
-def resolve(candidates: DataFrame, date_order: str = "MDY") -> DataFrame:
-    """One row per document and field: the first usable candidate by priority, then by place.
+def resolve(field: str, typed: Column) -> Column:
+    """struct(met, text, address, email, evidence) of a field: the first usable candidate by priority, then by place.
 
     met is where the field was first met, usable or not: of a party's own address and an explicitly
     labelled one, the field met first wins.
     """
-    typed = candidates.withColumn("v", typed_value(F.col("field"), F.col("value"), date_order))
-    return typed.groupBy("document_id", "field").agg(
-        F.min("seq").alias("met"),
-        F.min_by(F.struct("v.text", "v.address", "v.email", "evidence"), F.when(F.col("v.text").isNotNull(), F.struct("priority", "seq"))).alias("won"),
-    )
 
+    def ranked(own: Column) -> Column:
+        first = lambda k: F.get(F.filter(own, lambda x: (x["priority"] == k) & x["v"]["text"].isNotNull()), F.lit(0))
+        return let(F.coalesce(first(0), first(1)), lambda w: F.struct(F.get(own, F.lit(0))["at"].alias("met"), w["v"]["text"].alias("text"), w["v"]["address"].alias("address"), w["v"]["email"].alias("email"), w["evidence"].alias("evidence")))
+
+    return let(F.filter(typed, lambda x: x["field"] == field), ranked)
+
+
+def letterhead(lines: Column) -> Column:
+    """struct(name, address, line): a company in the first six lines, before any labelled value; NULL if there is none."""
+
+    def tried(six: Column) -> Column:
+        closed = F.array_position(F.transform(six, lambda x: F.coalesce(x["label"]["rest"], F.lit("")) != ""), F.lit(True)).cast("int")
+        before = lambda n: F.when(n > 0, F.slice(six, F.lit(1), n - 1)).otherwise(six)
+        fits = lambda x: x["label"].isNull() & F.coalesce(has_company_suffix(strip(x["line"])), F.lit(False))
+        place = lambda usable: F.array_position(F.transform(usable, fits), F.lit(True)).cast("int")
+        return let(closed, lambda n: place(before(n)))
 
-def header_fields(docs: DataFrame | Labelled, date_order: str = "MDY") -> DataFrame:
-    """document_id, one column per header field (typed), evidence (map of field to source text).
+    def read(n: Column) -> Column:
+        line = strip(F.get(lines, n - 1)["line"])
+        ahead = F.transform(F.slice(lines, n + 1, 3), lambda y: F.struct((y["label"].isNotNull() | ~looks_like_address(strip(y["line"]))).alias("stop"), strip(y["line"]).alias("text")))
+        block = lambda alone, below: F.when(alone["address"].isNull() & (F.size(below) > 0), split_party(F.array_join(F.concat(F.array(line), below), "\n"))).otherwise(alone)
+        best = let(split_party(line), lambda alone: let(_until_stop(ahead), lambda below: block(alone, below)))
+        return let(best, lambda b: F.struct(b["name"].alias("name"), b["address"].alias("address"), line.alias("line")))
+
+    return let(tried(F.slice(lines, 1, 6)), lambda n: F.when(n > 0, read(n)))
+
+
+def header_fields(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
+    """document_id, one column per header field (typed), evidence (map of field to source text), warnings.
 
     Every document has a row; fields that are not found are NULL.
     """
-    parts = labelled(docs)
-    docs = parts.docs
-    found = resolve(text_candidates(parts).unionByName(table_candidates(parts)), date_order)
-    pick = lambda f: F.max(F.when(F.col("field") == f, F.struct("met", "won"))).alias(f"_{f}")
-    wide = found.groupBy("document_id").agg(*(pick(f) for f in HEADER_FIELDS))
-    wide = docs.select("document_id", "text_blocks", "tables").join(wide, "document_id", "left")
-    value = lambda f: F.col(f"_{f}.won.text")
-
-    def shared(field: str, party: str, part: str) -> Column:
-        explicit, beside = value(field), F.when(value(party).isNotNull(), F.col(f"_{party}.won.{part}"))
-        party_first = F.col(f"_{party}.met") < F.col(f"_{field}.met")
-        return F.when(party_first, F.coalesce(beside, explicit)).otherwise(F.coalesce(explicit, beside))
+    return _fields(docs, date_order).select("document_id", *HEADER_FIELDS, "evidence", "warnings")
+
+
+def _fields(docs: DataFrame, date_order: str) -> DataFrame:
+    docs = candidates_of(docs)
+    typed = F.transform("candidates", lambda x, i: F.struct(i.alias("at"), x["field"].alias("field"), x["priority"].alias("priority"), x["evidence"].alias("evidence"), typed_value(x["field"], x["value"], date_order).alias("v")))
+    wide = docs.withColumn("_typed", typed)
+    wide = wide.withColumns({f"_{f}": resolve(f, F.col("_typed")) for f in HEADER_FIELDS} | {"_letter": letterhead(F.col("lines"))})
+    value = lambda f: F.col(f"_{f}.text")
+
+    def shared(field: str, party: str, part: str) -> tuple[Column, Column]:
+        """Value and evidence of a field that a party block may give too."""
+        explicit, beside = value(field), F.when(value(party).isNotNull(), F.col(f"_{party}.{part}"))
+        by_party = beside.isNotNull() & (explicit.isNull() | (F.col(f"_{party}.met") < F.col(f"_{field}.met")))
+        return F.when(by_party, beside).otherwise(explicit), F.when(by_party, F.col(f"_{party}.evidence")).otherwise(F.col(f"_{field}.evidence"))
 
     special = {"supplier_address": ("supplier_name", "address"), "supplier_email": ("supplier_name", "email"), "buyer_address": ("buyer_name", "address")}
-    fields = {f: shared(f, *special[f]) if f in special else value(f) for f in HEADER_FIELDS}
+    both = {f: shared(f, *special[f]) if f in special else (value(f), F.col(f"_{f}.evidence")) for f in HEADER_FIELDS}
+    use = value("buyer_name").isNull() & F.col("_letter").isNotNull()
+    both["buyer_name"] = F.when(use, F.col("_letter.name")).otherwise(both["buyer_name"][0]), F.when(use, F.col("_letter.line")).otherwise(both["buyer_name"][1])
+    address, source = both["buyer_address"]
+    both["buyer_address"] = F.when(use, F.coalesce(address, "_letter.address")).otherwise(address), source
+    cells = F.flatten(F.transform("grids", lambda g: F.flatten(g["rows"])))
+    corpus = F.array_join(F.concat("text_blocks", cells), "\n")
+    # only documents that name no currency are searched whole
+    body = F.when(value("currency").isNull(), let(corpus, lambda c: F.struct(detect_currency(c).alias("code"), c.contains("$").alias("dollar"))))
+    wide = wide.withColumn("_body", body)
+    both["currency"] = F.coalesce(value("currency"), "_body.code"), F.when(F.col("_body.code").isNotNull(), vocab.BODY_CURRENCY).otherwise(both["currency"][1])
     kinds = dict.fromkeys(vocab.DATE_FIELDS, "date") | dict.fromkeys(vocab.MONEY_FIELDS, "decimal(38,10)")
-    evidence = F.map_from_entries(
-        F.filter(F.array(*(F.struct(F.lit(f).alias("key"), F.when(value(f).isNotNull(), F.col(f"_{f}.won.evidence")).alias("value")) for f in HEADER_FIELDS)), lambda e: e["value"].isNotNull())
-    )
-    out = wide.select("document_id", "text_blocks", "tables", *(c.cast(kinds.get(f, "string")).alias(f) for f, c in fields.items()), evidence.alias("evidence"))
-    out = out.join(letterhead(parts), "document_id", "left")
-    use = F.col("buyer_name").isNull() & F.col("letter.name").isNotNull()
-    corpus = F.array_join(F.concat("text_blocks", F.flatten(F.flatten(F.transform("tables", lambda t: t["rows"])))), "\n")
-    body_currency = detect_currency(corpus)
+    entries = F.array(*(F.struct(F.lit(f).alias("key"), F.when(v.isNotNull(), e).alias("value")) for f, (v, e) in both.items()))
+    evidence = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
     warnings = F.filter(
         F.array(
-            F.when(use, "buyer_name taken from document letterhead (no explicit buyer label)"),
-            F.when(F.col("currency").isNull() & body_currency.isNull() & corpus.contains("$"), "currency symbol '$' found but ambiguous (USD/CAD/AUD...); currency left empty"),
-            *(F.when(F.col(f).isNull(), f"{f} not found in document") for f in ("purchase_order_number", "supplier_name", "order_date", "total_amount")),
+            F.when(use, vocab.LETTERHEAD_WARNING), F.when(F.col("_body").isNotNull() & F.col("_body.code").isNull() & F.col("_body.dollar"), vocab.DOLLAR_WARNING),
+            *(F.when(both[f][0].isNull(), f"{f} {vocab.MISSING_WARNING}") for f in ("purchase_order_number", "supplier_name", "order_date", "total_amount")),
         ),
         lambda w: w.isNotNull(),
-    )
-    return out.select(
-        "document_id",
-        *(
-            F.when(use, F.col("letter.name")).otherwise(F.col(f)).alias(f) if f == "buyer_name"
-            else F.when(use, F.coalesce(F.col(f), F.col("letter.address"))).otherwise(F.col(f)).alias(f) if f == "buyer_address"
-            else F.coalesce(F.col(f), body_currency).alias(f) if f == "currency"
-            else F.col(f)
-            for f in HEADER_FIELDS
-        ),
-        "evidence", warnings.alias("warnings"),
     )
+    rest = [c for c in ("parts", "items", "numbers_given") if c in wide.columns]
+    return wide.select("document_id", *rest, *(v.cast(kinds.get(f, "string")).alias(f) for f, (v, _) in both.items()), evidence.alias("evidence"), warnings.alias("warnings"))
 
 
-def letterhead(docs: DataFrame | Labelled) -> DataFrame:
-    """document_id, letter (name, address): a company in the first six lines, before any labelled value."""
-    order = Window.partitionBy("document_id").orderBy("line_no")
-    lines = labelled(docs).lines.withColumn("line", strip(F.col("line")))
-    ahead = order.rowsBetween(1, 3)
-    lines = lines.withColumn("next", F.collect_list(F.struct((F.col("label").isNotNull() | ~looks_like_address("line")).alias("stop"), F.col("line").alias("text"))).over(ahead))
-    lines = lines.withColumn("closed", F.max((F.coalesce(F.col("label.rest"), F.lit("")) != "").cast("int")).over(order))
-    open_lines = lines.where("line_no < 6 and closed = 0 and label is null").where(has_company_suffix("line"))
-    stop = F.array_position(F.transform("next", lambda x: x["stop"]), F.lit(True)).cast("int")
-    below = F.transform(F.slice("next", F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size("next"))), lambda x: x["text"])
-    alone = split_party("line")
-    joined = split_party(F.array_join(F.concat(F.array("line"), below), "\n"))
-    best = F.when(alone["address"].isNull() & (F.size(below) > 0), joined).otherwise(alone)
-    first = open_lines.withColumn("letter", best).groupBy("document_id").agg(F.min_by("letter", "line_no").alias("letter"))
-    return first.select("document_id", "letter")
-
-
-def extract(docs: DataFrame | Labelled, date_order: str = "MDY") -> DataFrame:
+def extract(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
     """Header fields with line_items (array of struct in document order) and all warnings."""
-    docs = labelled(docs)
-    items = line_items(docs, date_order)
-    names = [c for c in items.columns if c not in ("document_id", "numbers_given")]
-    grouped = items.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("line_items"), F.max("numbers_given").alias("given"))
-    both = header_fields(docs, date_order).join(grouped, "document_id", "left")
-    none = F.col("line_items").isNull()
+    both = _fields(with_items(labelled(docs), date_order), date_order)
+    none = F.array().cast("array<string>")
     notes = F.concat(
-        F.when(F.coalesce("given", F.lit(False)), F.array(F.lit("line numbers not present in document; assigned sequentially by row order"))).otherwise(F.array().cast("array<string>")),
-        "warnings", F.when(none, F.array(F.lit("no line items found"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("numbers_given"), F.array(F.lit(vocab.NUMBERS_WARNING))).otherwise(none), "warnings", F.when(F.size("items") == 0, F.array(F.lit(vocab.NO_ITEMS_WARNING))).otherwise(none),
     )
-    empty = F.array().cast(grouped.schema["line_items"].dataType)
-    return both.withColumn("warnings", notes).withColumn("line_items", F.coalesce("line_items", empty)).drop("given")
+    return both.select("document_id", *HEADER_FIELDS, "evidence", notes.alias("warnings"), F.col("items").alias("line_items"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from orderloom.operators import evaluate as ev
 from orderloom.operators import validate as va
-from orderloom.operators.documents import labelled, render_orders
-from orderloom.operators.headers import header_fields, table_candidates, text_candidates
+from orderloom.operators.documents import render_letters, render_orders
+from orderloom.operators.headers import HEADER_FIELDS, candidates_of, extract, header_fields
 from orderloom.operators.items import item_tables, line_items
 from orderloom.plans.expressions import CLEAN
 from orderloom.session import spread, table
@@ -36,9 +36,8 @@ def header_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    docs = labelled(rendered(spark, d))
-    both = text_candidates(docs).unionByName(table_candidates(docs))
-    return both.where("value is not null").groupBy("field", "priority").agg(F.count("*").alias("n"))
+    found = candidates_of(rendered(spark, d)).select(F.explode_outer("candidates").alias("x")).select("x.*")
+    return found.where("value is not null").groupBy("field", "priority").agg(F.count("*").alias("n"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -49,9 +48,33 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def continued_tables(spark: SparkSession, d: str) -> DataFrame:
-    _, _, rows, labels = labelled(rendered(spark, d))
-    found = item_tables(rows, labels)
-    return found.groupBy("document_id").agg(F.count("*").alias("tables"), F.count_if(F.col("header_r").isNull()).alias("continued"))
+    found = item_tables(rendered(spark, d)).withColumn("heads", F.filter(F.transform("parts", lambda p: p["header_r"]), lambda r: r.isNotNull()))
+    return found.select("document_id", F.size("heads").cast("bigint").alias("tables"), F.size(F.filter("heads", lambda r: r < 0)).cast("bigint").alias("continued"))
+
+
+def letters(spark: SparkSession, d: str) -> DataFrame:
+    return render_letters(*(table(spark, d, t) for t in ("orders", "lineitem")))
+
+
+def letter_headers(spark: SparkSession, d: str) -> DataFrame:
+    """All header fields of the fuller layouts."""
+    found = header_fields(letters(spark, d))
+    amount = lambda f: F.col(f).cast("decimal(18,2)").alias(f) if f in ("subtotal", "tax", "shipping", "total_amount") else F.col(f)
+    return found.select("document_id", *(amount(f) for f in HEADER_FIELDS))
+
+
+def letter_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Warnings and some evidence of whole extractions of the fuller layouts."""
+    found = extract(letters(spark, d))
+    said = lambda f: F.col("evidence")[f].alias(f)
+    return found.select("document_id", F.array_join("warnings", "; ").alias("warnings"), F.array_join(F.array_sort(F.map_keys("evidence")), ",").alias("evidence"), said("buyer_name"), said("supplier_address"), said("currency"), F.size("line_items").cast("bigint").alias("items"))
+
+
+def letter_items(spark: SparkSession, d: str) -> DataFrame:
+    found = line_items(letters(spark, d))
+    return found.select(
+        "document_id", "seq", "line_number", "part_number", "part_name", F.col("quantity").cast("int").alias("quantity"), "unit_of_measure", F.col("line_total").cast("decimal(18,2)").alias("line_total"), "numbers_given"
+    )
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +142,8 @@ def parsed_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "x3_x8_headers": headers, "x9_x10_x19_x20_notes": header_notes, "x3_x4_x5_candidates": candidates, "x11_x18_items": items, "x14_continued_tables": continued_tables,
+    "x3_x8_headers": headers, "x19_x20_notes": header_notes, "x3_x4_x5_candidates": candidates, "x11_x12_x16_x18_items": items, "x14_continued_tables": continued_tables,
+    "x1_x9_t15_t17_letter_headers": letter_headers, "x8_x10_x19_x20_letter_notes": letter_notes, "x13_x18_letter_items": letter_items,
     "d2_d4_header_issues": header_issues, "d5_d7_item_issues": item_issues, "d8_d10_total_issues": total_issues, "d11_verdicts": verdicts, "e1_e3_evaluation": evaluation,
     "m1_m6_mail_round_trip": mail_round_trip, "s9_s12_parsed_texts": parsed_texts,
 }
@@ -132,6 +156,9 @@ LINES = """lines AS (SELECT l_orderkey AS purchase_order_id, l_linenumber AS lin
     row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS nth,
     l_partkey % 9 = 0 AS nameless, CASE WHEN l_suppkey % 7 > 0 THEN CAST(l_quantity - 1 AS DECIMAL(18,4)) END AS quantity,
     CAST(CASE WHEN l_partkey % 5 > 0 THEN l_quantity - 1 ELSE l_extendedprice END AS DECIMAL(18,4)) AS line_total FROM lineitem)"""
+LETTERS = """letters AS (SELECT 'PO-' || o_orderkey AS document_id, CAST(o_orderdate AS DATE) AS day, o_custkey AS c, o_custkey % 100 AS s, o_orderkey % 2 = 0 AS a, n,
+    CAST(o_totalprice AS DECIMAL(18,2)) AS goods, CAST(o_orderkey % 1000 / 100 AS DECIMAL(18,2)) AS tax, CAST(o_orderkey % 40 AS DECIMAL(18,2)) AS freight
+    FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 NEAR = "abs({0} - {1}) <= greatest(0.02, abs({1}) * 0.0005)"
 HEAD_ISSUES = """SELECT id, 'po_number' AS field, 'error' AS severity, 'required' AS rule FROM heads WHERE po_number IS NULL
     UNION ALL SELECT id, 'supplier_name', 'warning', 'missing' FROM heads WHERE supplier_name IS NULL
@@ -159,16 +186,35 @@ ORACLES = {
         SELECT 'purchase_order_number' AS field, 0 AS priority, a + b AS n FROM n UNION ALL SELECT 'purchase_order_number', 1, c FROM n
         UNION ALL SELECT 'order_date', 0, a + b FROM n UNION ALL SELECT 'order_date', 1, c FROM n UNION ALL SELECT 'buyer_name', 0, a + b + c FROM n
         UNION ALL SELECT 'currency', 0, a + b FROM n UNION ALL SELECT 'total_amount', 0, 2 * a + b FROM n UNION ALL SELECT 'total_amount', 1, c FROM n""",
-    "x9_x10_x19_x20_notes": """SELECT 'PO-' || o_orderkey AS document_id, 'supplier_name not found in document' AS warnings,
-        CASE WHEN o_orderkey % 3 = 2 THEN 'buyer_name,order_date,purchase_order_number,total_amount' ELSE 'buyer_name,currency,order_date,purchase_order_number,total_amount' END AS evidence
+    "x19_x20_notes": """SELECT 'PO-' || o_orderkey AS document_id, 'supplier_name not found in document' AS warnings,
+        'buyer_name,currency,order_date,purchase_order_number,total_amount' AS evidence
         FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "x11_x18_items": """SELECT 'PO-' || l_orderkey AS document_id, n AS seq, n AS line_number, 'P-' || l_partkey AS part_number, 'Part ' || l_partkey AS part_name,
+    "x11_x12_x16_x18_items": """SELECT 'PO-' || l_orderkey AS document_id, n AS seq, n AS line_number, 'P-' || l_partkey AS part_number, 'Part ' || l_partkey AS part_name,
         CAST(l_quantity AS INTEGER) AS quantity, 'EA' AS unit_of_measure, CAST(l_extendedprice AS DECIMAL(18,2)) AS line_total FROM (SELECT *,
         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS INTEGER) AS n
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)""",
     "x14_continued_tables": """SELECT 'PO-' || o_orderkey AS document_id, CASE WHEN o_orderkey % 3 = 2 AND coalesce(n, 0) > 1 THEN 2 ELSE 1 END AS tables,
         CASE WHEN o_orderkey % 3 = 2 AND coalesce(n, 0) > 1 THEN 1 ELSE 0 END AS continued FROM orders JOIN customer ON o_custkey = c_custkey
         LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+    "x1_x9_t15_t17_letter_headers": f"""WITH {LETTERS} SELECT document_id, document_id AS purchase_order_number, day AS order_date, CAST(day + 14 AS DATE) AS requested_delivery_date,
+        CASE WHEN NOT a THEN 'CHF' END AS currency, 'Maker ' || s || CASE WHEN a THEN ' Ltd' ELSE ' GmbH' END AS supplier_name, 'sales@s' || s || '.example' AS supplier_email,
+        CASE WHEN a THEN s || ' Quay Road, Leeds' ELSE 'Hafenstrasse ' || s || ', 20457 Hamburg' END AS supplier_address,
+        'Client ' || c || CASE WHEN a THEN ' Trading Inc.' ELSE ' Ltd' END AS buyer_name, CASE WHEN a THEN c || ' Industrial Way, Springfield, IL 62701' ELSE c || ' Elm Road, York' END AS buyer_address,
+        CASE WHEN a THEN 'Dock 3, ' || c || ' Harbour Street, Springfield' END AS ship_to_address, CASE WHEN NOT a THEN 'Client ' || c || ' Ltd, Box ' || c END AS bill_to_address,
+        CASE WHEN a THEN 'Net 30' ELSE 'Net 45' END AS payment_terms, CASE WHEN a THEN 'CIF Rotterdam' ELSE 'DDP Leeds' END AS shipping_terms,
+        goods AS subtotal, tax, freight AS shipping, CAST(goods + tax + freight AS DECIMAL(18,2)) AS total_amount FROM letters""",
+    "x8_x10_x19_x20_letter_notes": f"""WITH {LETTERS} SELECT document_id,
+        CASE WHEN a THEN 'buyer_name taken from document letterhead (no explicit buyer label); currency symbol ''$'' found but ambiguous (USD/CAD/AUD...); currency left empty'
+            ELSE 'line numbers not present in document; assigned sequentially by row order' END AS warnings,
+        CASE WHEN a THEN 'buyer_name,order_date,payment_terms,purchase_order_number,requested_delivery_date,ship_to_address,shipping,shipping_terms,subtotal,supplier_address,supplier_email,supplier_name,tax,total_amount'
+            ELSE 'bill_to_address,buyer_address,buyer_name,currency,order_date,payment_terms,purchase_order_number,requested_delivery_date,shipping,shipping_terms,subtotal,supplier_address,supplier_email,supplier_name,tax,total_amount' END AS evidence,
+        CASE WHEN a THEN 'Client ' || c || ' Trading Inc.' ELSE 'Buyer:' END AS buyer_name, CASE WHEN a THEN 'Vendor: Maker ' || s || ' Ltd, ' || s || ' Quay Road, Leeds' ELSE 'Supplier:' END AS supplier_address,
+        CASE WHEN NOT a THEN 'currency code/symbol found in document body' END AS currency, n AS items FROM letters""",
+    "x13_x18_letter_items": """SELECT 'PO-' || l_orderkey AS document_id, n AS seq, CASE WHEN l_orderkey % 2 = 0 THEN 10 * n ELSE n END AS line_number, 'P-' || l_partkey AS part_number,
+        'Part ' || l_partkey || CASE WHEN l_orderkey % 2 = 0 AND l_partkey % 3 = 0 THEN ' (lot ' || l_suppkey || ')' ELSE '' END AS part_name, CAST(l_quantity AS INTEGER) AS quantity,
+        CASE WHEN l_orderkey % 2 = 0 THEN 'PC' ELSE 'PK' END AS unit_of_measure, CAST(l_extendedprice AS DECIMAL(18,2)) AS line_total, l_orderkey % 2 = 1 AS numbers_given FROM (SELECT *,
+        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS INTEGER) AS n
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "d2_d4_header_issues": f"WITH {HEADS} {HEAD_ISSUES}",
     "d5_d7_item_issues": f"WITH {LINES} {ITEM_ISSUES}",
     "d8_d10_total_issues": f"WITH {HEADS}, {LINES}, {SUMS} {TOTAL_ISSUES}",

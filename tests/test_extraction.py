@@ -81,3 +81,18 @@ def test_rendered_layouts(spark, data, layout):
     assert set(rendered.columns) <= {c.split()[0] for c in PARSED_SCHEMA.split(", ")}
     found = header_fields(rendered)
     assert found.where("purchase_order_number = document_id and order_date is not null and total_amount is not null").count() == rendered.count()
+
+
+def test_extraction_stays_in_the_row(spark, data):
+    """Neither an exchange nor a second evaluation behind a pushed filter."""
+    a = docs(spark, [("d", LETTER, [(1, ITEMS)])])
+    for df in (header_fields(a), line_items(a), extract(a)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Filter (size" not in plan
+
+
+def test_rows_with_null_parts(spark):
+    a = docs(spark, [(None, [None, "PO No: 7"], [(None, [None, [None, "Total"], ["Total", "3.00"]])]), ("d", [""], [(1, None), (2, [])]), ("long", ["x " * 200_000 + "\nPO No: 8"], None)])
+    found = {r.document_id: r for r in extract(a).collect()}
+    assert found[None].purchase_order_number == "7" and found[None].total_amount == 3
+    assert found["long"].purchase_order_number == "8" and found["d"].line_items == []
