@@ -92,7 +92,7 @@ def test_extraction_stays_in_the_row(spark, data):
 
 
 def test_rows_with_null_parts(spark):
-    a = docs(spark, [(None, [None, "PO No: 7"], [(None, [None, [None, "Total"], ["Total", "3.00"]])]), ("d", [""], [(1, None), (2, [])]), ("long", ["x " * 200_000 + "\nPO No: 8"], None)])
+    a = docs(spark, [(None, [None, "PO No: 77"], [(None, [None, [None, "Total"], ["Total", "3.00"]])]), ("d", [""], [(1, None), (2, [])]), ("long", ["x " * 200_000 + "\nPO No: 88"], None)])
     found = {r.document_id: r for r in extract(a).collect()}
-    assert found[None].purchase_order_number == "7" and found[None].total_amount == 3
-    assert found["long"].purchase_order_number == "8" and found["d"].line_items == []
+    assert found[None].purchase_order_number == "77" and found[None].total_amount == 3
+    assert found["long"].purchase_order_number == "88" and found["d"].line_items == []
