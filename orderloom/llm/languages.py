@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Notations of language labels, folded: code, longer codes, names in several languages.
@@ -33,8 +34,9 @@ LANGUAGES = tuple(line.split()[0] for line in LABEL_LINES.strip().splitlines())
 
 #: Labelled documents of each language that the models are fitted on, and those of fewest letters among them.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 150
-#: First sentences of each of them that the models are fitted on, so that no long text outweighs the others.
-SAMPLE_SENTENCES = 40
+#: Sentences of each of them that the models are fitted on (those of least hash, so that no long text outweighs
+#: the others), and letters of the longest of these: what the driver gets is bounded by the three numbers.
+SAMPLE_SENTENCES, SAMPLE_SENTENCE_CHARS = 40, 600
 BUCKETS = 1 << 17
 ORDERS = (2, 3, 4)
 #: n-grams overlap, so log likelihoods count by this factor; a further language must gain more than PENALTY.
@@ -165,33 +167,79 @@ def document_segments(ll: np.ndarray) -> list[tuple[str, float, int]]:
     return [(LANGUAGES[chosen[picks[a]]], float(np.mean(certain[a:b])), b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def batch_segments(ll: np.ndarray, sizes: np.ndarray) -> list[list[tuple[str | None, float, int]]]:
+    """Segments of many documents, whose sentences (rows) follow one another; a document without sentences has one of no language.
+
+    Where no second language could gain the penalty even if it took all sentences that it fits
+    better, the mixture is of one language: most documents are told so at once, the others one by one.
+    """
+    out: list[list[tuple[str | None, float, int]]] = [[(None, 0.0, 0)]] * len(sizes)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    starts = np.cumsum(sizes[some]) - sizes[some]
+    best = np.add.reduceat(ll, starts, axis=0).argmax(axis=1)
+    of = np.repeat(np.arange(len(some)), sizes[some])
+    own = ll[np.arange(len(ll)), best[of]]
+    gains = np.add.reduceat(np.maximum(ll - own[:, None], 0), starts, axis=0)
+    single = gains.max(axis=1) <= PENALTY
+    peak = ll.max(axis=1)
+    certain = np.add.reduceat(np.exp(own - peak) / np.exp(ll - peak[:, None]).sum(axis=1), starts) / sizes[some]
+    for k, d in enumerate(some.tolist()):
+        a, n = int(starts[k]), int(sizes[d])
+        out[d] = [(LANGUAGES[best[k]], float(certain[k]), n)] if single[k] else document_segments(ll[a : a + n])
+    return out
+
+
+def label_code(label: Column) -> Column:
+    """Two-letter code that a label column names, else NULL."""
+    low = F.lower(F.trim(label))
+    table = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, low), F.try_element_at(table, F.split(low, r"[-_ .(/]")[0]))
+
+
+def sampled_sentences(text: str) -> list[str]:
+    """The sentences of a document that count in the fit, in reading order."""
+    usable = [(xxhash.xxh64_intdigest(x), i, x) for i, x in enumerate(sentences(text)) if len(x) <= SAMPLE_SENTENCE_CHARS]
+    return [x for _, _, x in sorted(sorted(usable)[:SAMPLE_SENTENCES], key=lambda t: t[1])]
+
+
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """Bounded sample of labelled documents, the same at each run: per language those of least hash."""
-    named = F.coalesce(*(F.when(F.lower(F.trim("lang")).isin(*[w for w, c in LABELS.items() if c == code]), F.lit(code)) for code in LANGUAGES))
-    keys = docs.where(F.length("text") >= SAMPLE_CHARS).select(named.alias("code"), F.xxhash64("doc_id", "text").alias("h")).where("code is not null")
-    rank = F.row_number().over(Window.partitionBy("code").orderBy("h"))
-    chosen = keys.withColumn("rank", rank).where(F.col("rank") <= per_language).select("code", "h").dropDuplicates(["h"])
-    return docs.select("text", F.xxhash64("doc_id", "text").alias("h")).join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("code", "text")
+    """code and sentences of at most ``per_language`` labelled documents of each language, those of least hash: the same at each run.
+
+    The labels alone are counted first; then one scan of the texts looks only at hashes below the
+    bound under which about twice as many documents of a language are.
+    """
+    space = 1 << 40
+    coded = docs.select(label_code(F.col("lang")).alias("code"), "doc_id", "text").where("code is not null")
+    counts = {r["code"]: r["n"] for r in coded.groupBy("code").agg(F.count("*").alias("n")).collect()}
+    bounds = {code: min(space, space * 3 * per_language // n + 1) for code, n in counts.items()}
+    rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(space))
+    bound = F.coalesce(*(F.when(F.col("code") == code, F.lit(b)) for code, b in bounds.items()), F.lit(0))
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([sampled_sentences(t) for t in texts], dtype=object)
+
+    low = coded.select("code", "text", rank.alias("rank"), bound.alias("bound")).where((F.col("rank") < F.col("bound")) & (F.length("text") >= SAMPLE_CHARS))
+    small = low.select("code", "rank", F.xxhash64("text").alias("hash"), cut("text").alias("sentences"))
+    # bounded by now: the least of each language, equal ones once
+    best = F.slice(F.array_sort(F.collect_set(F.struct("rank", "hash", "sentences"))), 1, per_language)
+    return small.groupBy("code").agg(best.alias("s")).select("code", F.explode("s").alias("s")).select("code", "s.sentences")
 
 
-def fit_model(sample: list[tuple[str, str]]) -> Model:
-    """Models from labelled texts of which a minority may be labelled wrongly or mixed.
+def fit_model(sample: list[tuple[str, list[str]]]) -> Model:
+    """Models from the sentences of labelled texts of which a minority may be labelled wrongly or mixed.
 
-    Of each text the first SAMPLE_SENTENCES sentences count. After each fit every sentence takes the language that it is likeliest in and the models are
+    After each fit every sentence takes the language that it is likeliest in and the models are
     fitted again; labels only start the process.
     """
-    texts: list[str] = []
-    langs: list[int] = []
-    for code, text in sorted(sample):
-        own = sentences(text)[:SAMPLE_SENTENCES]
-        texts += own
-        langs += [LANGUAGES.index(code)] * len(own)
-    labels = np.array(langs, dtype=np.int64)
+    texts = [x for code, own in sorted(sample) for x in own]
+    labels = np.array([LANGUAGES.index(code) for code, own in sorted(sample) for _ in own], dtype=np.int64)
     model = Model.fit(texts, labels)
     for _ in range(ROUNDS):
         if texts:
-            scores = model.score(texts)
-            labels = scores.argmax(axis=1)
+            labels = model.score(texts).argmax(axis=1)
             model = Model.fit(texts, labels)
     return model
 
@@ -204,7 +252,7 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
     stay apart. Labels pass as they stand.
     """
     if model is None:
-        sample = [(r["code"], r["text"]) for r in training_sample(docs).collect()]
+        sample = [(r["code"], list(r["sentences"])) for r in training_sample(docs).collect()]
         model = fit_model(sample)
     shared = docs.sparkSession.sparkContext.broadcast(model.table)
 
@@ -213,12 +261,8 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
         own = Model(shared.value)
         for texts in batches:
             parts = [sentences(t) if isinstance(t, str) else [] for t in texts]
-            ll = own.score([s for p in parts for s in p])
-            at, rows = 0, []
-            for p in parts:
-                segments = document_segments(ll[at : at + len(p)]) if p else [(None, 0.0, 0)]
-                rows.append([{"lang": a, "confidence": b, "n_sentences": c} for a, b, c in segments])
-                at += len(p)
+            found = batch_segments(own.score([s for p in parts for s in p]), np.array([len(p) for p in parts], dtype=np.int64))
+            rows = [[{"lang": a, "confidence": b, "n_sentences": c} for a, b, c in segments] for segments in found]
             yield pd.Series(rows, dtype=object)
 
     found = docs.select("doc_id", F.col("lang").alias("label"), run("text").alias("s"))
@@ -227,16 +271,9 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
     )
 
 
-def named_language(label: str = "label") -> F.Column:
-    """Two-letter code that a label column names, else NULL."""
-    low = F.lower(F.trim(F.col(label)))
-    table = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, low), F.try_element_at(table, F.split(low, r"[-_ .(/]")[0]))
-
-
 def label_cases(docs: DataFrame) -> DataFrame:
     """Segments of documents whose label is missing or wrong or that mix languages."""
     found = language_segments(docs).where("lang is not null")
-    named = named_language()
+    named = label_code(F.col("label"))
     wrong = named.isNull() | (named != F.col("lang")) | (F.col("n_segments") > 1)
     return found.where(wrong).select("doc_id", F.col("segment_no").cast("int"), "lang")
