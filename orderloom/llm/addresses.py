@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.folding import fold, loose, within
+from orderloom.llm.names import components, probes, segments
 from orderloom.session import cut_lineage
 
 # Kinds of street, folded. One code per line; words that may stand before or after a name.
@@ -69,9 +70,10 @@ NOISE = re.compile(
     r"|\b(?:dock|gate|halle|hall|suite|ste|unit|bay|room|rm|apt|bldg|building|gebaude|hal|tor|rampe|lager|warehouse|dept)\.? ?(?:no\.? ?)?#? ?[a-z]?\d*\b(?=[\s,;|\n]|$)"
     r"|\b\d{1,2}(?:st|nd|rd|th|\.|o|e|er|eme)? (?:floor|fl|etage|og|stock|piano|planta|pietro|verdieping)\b|\b(?:floor|level|etage) \d{1,2}\b")
 POSTCODE = re.compile(r"\b(?:([a-z]{1,2}\d{1,2}[a-z]?) ?(\d[a-z]{2})|(?:[a-z]{1,3}-)?(\d{5})(?:-\d{4})?|(\d{4}) ?([a-z]{2})|(\d{2}-\d{3}))\b")
-HOUSE = re.compile(r"^(\d{1,4}[a-z]?)$")
+HOUSE = re.compile(r"^(\d{1,5}[a-z]?(?:[-/]\d{1,4}[a-z]?)?)$")
 NUMBER_SIGN = re.compile(r"(?:\b(?:nr|no|num|numero|n)\.|\bn°|\bnº|#|№|\bnr\b|\bno\b)\s*(?=\d)")
-FORMER = {"st": "s", "saint": "s", "sankt": "s", "sint": "s", "san": "s", "santa": "s", "s": "s"}
+#: Pairs behind one key of number and street from which towns are looked up by their segments, and edits between towns.
+CROWD, TOWN_EDITS = 10_000, 2
 
 
 def _kind(token: str, not_as: frozenset[str]) -> str | None:
@@ -92,7 +94,7 @@ def parse(address: str) -> tuple[str | None, ...]:
     code = None
     found = list(POSTCODE.finditer(text))
     if found:
-        m = found[-1] if len(found) > 1 and found[0].group(3) is None else found[0]
+        m = _postcode(text, found)
         code = re.sub(r"^[a-z]{1,3}-|\s", "", m.group(0)) if m.group(3) else m.group(0).replace(" ", "")
         text = f"{text[: m.start()]} |@ {text[m.end() :]}"
     if m := LEGAL.search(text):
@@ -113,6 +115,17 @@ def parse(address: str) -> tuple[str | None, ...]:
     return number, loose(name) if name else None, kind, code, *_town(rest)
 
 
+def _postcode(text: str, found: list[re.Match[str]]) -> re.Match[str]:
+    """The group that is the postcode: behind a state if one is; of several of five digits the last, as house numbers may have five too."""
+    fives = [m for m in found if m.group(3)]
+    behind = [m for m in fives if text[: m.start()].split()[-1:] and text[: m.start()].split()[-1] in STATES]
+    if behind:
+        return behind[-1]
+    if len(found) > 1 and found[0].group(3) is None:
+        return found[-1]
+    return fives[-1] if len(fives) == len(found) and len(fives) > 1 else found[0]
+
+
 def _street(tokens: list[str]) -> tuple[str | None, str | None, str | None, set[int]]:
     """Number, name, kind and the places of their tokens."""
     numbers = [i for i, t in enumerate(tokens) if HOUSE.match(t)]
@@ -198,20 +211,22 @@ def same_town(suffix_a: str = "_a", suffix_b: str = "_b") -> Column:
 
 
 def same_street(a: Column, b: Column, most: int) -> Column:
-    return F.levenshtein(a, b) <= F.least(F.lit(most), F.floor(F.least(F.length(a), F.length(b)) / 2))
+    """Up to ``most`` letters apart, half of the shorter name at most; names of one or two letters must be equal."""
+    short = F.least(F.length(a), F.length(b))
+    return F.levenshtein(a, b) <= F.when(short < 3, 0).otherwise(F.least(F.lit(most), F.floor(short / 2)))
 
 
-def address_classes(addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
+def address_classes(addresses: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Members (address, class_id) of each parsed form, and links (class_a < class_b) between forms of one place.
 
     A form needs number, street and kind, and a postcode or a town; other strings are no places and
-    stay out, as do NULL and blank ones. Rules: number and kind must be equal; streets may differ by
-    typos; two postcodes must be equal; where one is missing the towns must agree, a missing town
-    being taken from the postcode's most frequent one.
+    stay out, as do NULL and blank ones. Rules: number and kind must be equal (a range is a number of
+    its own); streets may differ by typos; two postcodes must be equal; where one is missing the towns
+    must agree, a missing town being taken from the postcode's most frequent one.
     """
     values = addresses.select(F.col("address")).where("address is not null").distinct()
     parsed = values.withColumn("f", F.pandas_udf(parse_batches, FORM)("address")).select("address", "f.*")
-    usable = parsed.where("number is not null and street is not null and kind is not null and length(street) > 2 and (postcode is not null or town is not null)")
+    usable = parsed.where("number is not null and street <> '' and kind is not null and (postcode is not null or town is not null)")
     members = usable.withColumn("class_id", F.xxhash64("number", "street", "kind", F.coalesce("postcode", F.lit("")), F.coalesce("town", F.lit("")), F.coalesce("town_whole", F.lit(""))))
     # written once: parsed strings are read several times below
     members = cut_lineage(members)
@@ -219,13 +234,10 @@ def address_classes(addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
     towns = towns.groupBy("postcode").agg(F.max(F.struct("count", "town", "town_whole")).alias("usual"))
     forms = members.select("class_id", *PARTS).dropDuplicates(["class_id"])
     forms = forms.join(towns, "postcode", "left").withColumns({"place": F.coalesce("town", "usual.town"), "place_whole": F.coalesce("town_whole", "usual.town_whole")}).drop("usual")
-    by_street = F.transform(deletions(F.col("street")), lambda s: F.concat_ws("|", F.lit("s"), "number", "kind", s))
-    first = _met(forms, F.concat(_code_key(), by_street))
-    coded = F.col("postcode_a").isNotNull() & F.col("postcode_b").isNotNull()
-    one_code = coded & (F.col("postcode_a") == F.col("postcode_b")) & same_street(F.col("street_a"), F.col("street_b"), 4)
-    one_town = ~coded & same_town() & same_street(F.col("street_a"), F.col("street_b"), 2)
-    linked = first.where(one_code | one_town).select("class_id_a", "class_id_b", "postcode_a", "postcode_b").distinct()
-    linked = cut_lineage(linked)
+    one_code = _met(forms, _code_key()).where(same_street(F.col("street_a"), F.col("street_b"), 4))
+    one_town = by_town(forms, crowd).where(same_town() & same_street(F.col("street_a"), F.col("street_b"), 2))
+    names = ("class_id_a", "class_id_b", "postcode_a", "postcode_b")
+    linked = cut_lineage(one_code.select(*names).unionByName(one_town.select(*names)).distinct())
     coded = F.col("postcode_a").isNotNull() & F.col("postcode_b").isNotNull()
     # a form without postcode takes the one that all its linked forms have, and meets the others there
     sides = F.explode(F.array(F.struct(F.col("class_id_a").alias("class_id"), F.col("postcode_b").alias("code")), F.struct(F.col("class_id_b").alias("class_id"), F.col("postcode_a").alias("code"))))
@@ -251,6 +263,38 @@ def _met(forms: DataFrame, keys: Column) -> DataFrame:
     return side("a").join(side("b"), "key").where("class_id_a < class_id_b")
 
 
+def by_town(forms: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs of forms of one number and kind with streets one letter apart, of which at least one has no postcode.
+
+    Where a street of that number stands in many towns, only forms meet whose towns share a segment
+    that towns up to two letters apart must share, in place of all; either way the same pairs pass
+    ``same_town``. Forms that both have a postcode do not meet here at all.
+    """
+    by_street = F.transform(deletions(F.col("street")), lambda s: F.concat_ws("|", "number", "kind", s))
+    keyed = forms.where("place is not null").select("class_id", "street", "postcode", "place", "place_whole", F.explode(by_street).alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("every"), F.count_if(F.col("postcode").isNull()).alias("bare")).where("bare > 0")
+    # written once: read by both ways
+    keyed = cut_lineage(keyed.join(counts.select("key", (F.col("every") * F.col("bare") > crowd).alias("crowded")), "key"))
+    names = ("class_id", "street", "postcode", "place", "place_whole")
+    side = lambda df, x, *more: df.select("key", *more, *(F.col(c).alias(f"{c}_{x}") for c in names))
+    few, many = keyed.where("not crowded"), keyed.where("crowded")
+    plain = side(few.where("postcode is null"), "a").join(side(few, "b"), "key")
+
+    def towns(make) -> Column:
+        @F.pandas_udf("array<string>")
+        def run(places: pd.Series, wholes: pd.Series) -> pd.Series:
+            return pd.Series([sorted({f"p{k}" for k in make(p, TOWN_EDITS)} | {f"w{k}" for k in make(w, TOWN_EDITS)}) for p, w in zip(places, wholes, strict=True)], dtype=object)
+
+        return F.explode(run("place", F.coalesce("place_whole", "place"))).alias("town_key")
+
+    index, probe = many.select("*", towns(segments)), many.where("postcode is null").select("*", towns(probes))
+    split = side(probe, "a", "town_key").join(side(index, "b", "town_key"), ["key", "town_key"]).drop("town_key")
+    met = plain.unionByName(split).drop("key").where("class_id_a <> class_id_b")
+    swap = F.col("class_id_a") > F.col("class_id_b")
+    turned = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in names for x, y in ("ab", "ba")]
+    return met.select(*turned)
+
+
 def pairs_of(members: DataFrame, links: DataFrame, value: str) -> DataFrame:
     """All pairs of different member values of one class or of linked classes, the smaller first."""
     left = members.select("class_id", F.col(value).alias("x"))
@@ -261,6 +305,16 @@ def pairs_of(members: DataFrame, links: DataFrame, value: str) -> DataFrame:
     return within_class.unionByName(across).select(F.col("x").alias(f"{value}_a"), F.col("y").alias(f"{value}_b"))
 
 
+def place_classes(addresses: DataFrame) -> DataFrame:
+    """address, place_id, spellings of each string that denotes a place: forms that links join over any number of steps are one place."""
+    members, links = address_classes(addresses)
+    counted = members.groupBy(F.col("class_id").alias("node")).agg(F.count("*").alias("weight"))
+    rooted = components(counted, links.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")))
+    sizes = rooted.join(counted, "node").groupBy("root").agg(F.sum("weight").alias("spellings"))
+    found = members.join(rooted.withColumnRenamed("node", "class_id"), "class_id").join(sizes, "root")
+    return found.select("address", F.col("root").alias("place_id"), "spellings")
+
+
 ADDRESS_FIELDS = ("supplier_address", "buyer_address", "ship_to_address", "bill_to_address")
 
 

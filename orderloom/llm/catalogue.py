@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderloom.llm.addresses import address_pairs
+from orderloom.llm.addresses import ADDRESS_FIELDS, address_pairs, place_classes
 from orderloom.llm.encode import encode_texts, share_vocabulary
 from orderloom.llm.languages import label_cases, language_segments
-from orderloom.llm.names import name_pairs
+from orderloom.llm.names import name_groups, name_pairs
 from orderloom.llm.newtext import new_lines
 from orderloom.llm.packing import fill_report, pack_documents
 
@@ -24,6 +25,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_pairs(_table(spark, sf_dir, "purchase_orders"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_classes(_table(spark, sf_dir, "purchase_orders").select(F.explode(F.array(*ADDRESS_FIELDS)).alias("address")))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_groups(_table(spark, sf_dir, "purchase_orders"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_lines(_table(spark, sf_dir, "inbound_emails"))
 
@@ -49,7 +58,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_segments": p8_segments}
+    return {"p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracles() -> dict[str, str]:

@@ -391,6 +391,12 @@ def name_classes(values: DataFrame) -> DataFrame:
     return members.join(final, "node").select("name", F.xxhash64("root").alias("class_id"))
 
 
+def name_groups(orders: DataFrame, fields: tuple[str, ...] = ("supplier_name", "buyer_name")) -> DataFrame:
+    """name, class_id, spellings of each stored name."""
+    members = name_classes(orders.select(F.explode(F.array(*fields)).alias("name")))
+    return members.join(members.groupBy("class_id").agg(F.count("*").alias("spellings")), "class_id").select("name", "class_id", "spellings")
+
+
 def name_pairs(orders: DataFrame, fields: tuple[str, ...] = ("supplier_name", "buyer_name")) -> DataFrame:
     """name_a, name_b of all pairs of different stored names of one entity, the smaller first."""
     members = name_classes(orders.select(F.explode(F.array(*fields)).alias("name")))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from orderloom.llm.addresses import address_pairs, parse
+from orderloom.llm.addresses import ADDRESS_FIELDS, address_classes, address_pairs, parse, place_classes
 
 ONE = [
     "123 Gepnotval Boulevard, Maple Darrow, WI 70590", "123 GEPNOTVAL BLVD.\nMAPLE DARROW, WI 70590", "Maple Darrow, WI 70590, 123 Gepnotval Blvd., US", "Attn: Goods In, 123 Gepnotvl Blvd, Maple Darrow",
@@ -59,3 +59,31 @@ def test_odd_input(spark):
     assert address_pairs(df).count() == 0
     odd = spark.createDataFrame([(v, v, None, None) for v in TWO], df.schema).withColumns({c: F.lit("z") for c in ("address", "number", "key", "class_id", "postcode", "place")})
     assert address_pairs(odd).count() == 3
+
+
+def test_long_numbers_ranges_and_short_streets(spark):
+    groups = [
+        ["12345 Gepnotval Road, Maple Darrow, WI 70590", "12345 GEPNOTVAL RD\nMAPLE DARROW, WI 70590", "Maple Darrow, WI 70590, 12345 Gepnotval Rd., US"],
+        ["12-14 Gepnotval Road, Maple Darrow, WI 70590", "12-14 Gepnotval Rd, Maple Darrow 70590"], ["12 Gepnotval Road, Maple Darrow, WI 70590", "No. 12 Gepnotval Rd, Maple Darrow 70590"],
+        ["12 Ox Road, Maple Darrow, WI 70590", "12 OX RD, MAPLE DARROW 70590"], ["12 Ax Road, Maple Darrow, WI 70590"],
+    ]
+    assert pairs(spark, [v for g in groups for v in g]) == sorted(p for g in groups for p in all_pairs(g))
+
+
+def test_crowded_streets_give_the_same_pairs(spark, data):
+    """A street of one number in many towns: found by segments of towns as by comparing all, whatever the bound."""
+    towns = ["Maple Darrow", "Mapel Darrow", "Fort Orlen", "Fort Orlem", "Sint Orbeek", "Veldhoorn", "Veldhorn", "Nowa Orlawa", "Brackenwick", "Oxhollow", "Pendleworth", "Aldermoth"]
+    values = [f"1 Gepnotval Road, {t}{code}" for k, t in enumerate(towns) for code in ("", f", WI {70590 + k}")]
+    stored = spark.read.parquet(f"{data}/purchase_orders.parquet").select(F.explode(F.array(*ADDRESS_FIELDS)).alias("address"))
+    for df in (spark.createDataFrame([(v,) for v in values], "address string"), stored):
+        found = [sorted(map(tuple, address_classes(df, crowd)[1].collect())) for crowd in (0, 10**9)]
+        assert found[0] == found[1] and found[0]
+
+
+def test_classes(spark):
+    rows = place_classes(spark.createDataFrame([(v,) for v in ONE + TWO + OTHERS], "address string")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.place_id, set()).add(r.address)
+    assert set(map(frozenset, by.values())) == {frozenset(ONE), frozenset(TWO), *(frozenset([x]) for x in OTHERS)}
+    assert all(r.spellings == len(by[r.place_id]) for r in rows)
