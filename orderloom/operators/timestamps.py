@@ -295,7 +295,8 @@ def normal_forms(df: DataFrame, value: str, zones: ZoneTable, instants: bool, zo
             filled = values.fillna("")
             yield pd.Series(reader.read(filled, masks.fillna(""), orders.to_numpy(dtype=object), names.to_numpy(dtype=object)), dtype=object)
 
-    reader_udf = F.pandas_udf(run, "string")
+    # else a filter on what it gives is pushed below it and each value is read twice
+    reader_udf = F.pandas_udf(run, "string").asNondeterministic()
     read = reader_udf(text, shape_mask(text), F.col(order), F.col(zone))
     return df.withColumn("normal_form", read).withColumn("normal_form", F.coalesce(serial, "normal_form"))
 
