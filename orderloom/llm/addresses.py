@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,13 +77,16 @@ NUMBER_SIGN = re.compile(r"(?:\b(?:nr|no|num|numero|n)\.|\bn°|\bnº|#|№|\bnr\
 CROWD, TOWN_EDITS = 10_000, 2
 
 
+@lru_cache(maxsize=200_000)
 def _kind(token: str, not_as: frozenset[str]) -> str | None:
     """Code of a kind word that may stand here; long words may have a typo."""
     bare = token.rstrip(".") if token not in KINDS else token
     if bare in KINDS:
         return None if bare in not_as else KINDS[bare]
     if len(bare) >= 5 and bare.isalpha():
-        return next((code for word, code in LONG_KINDS.items() if word not in not_as and within(bare, word, 1)), None)
+        # one edit leaves the first two letters or the last two
+        ends = bare[:2], bare[-2:]
+        return next((code for word, code in LONG_KINDS.items() if (word[:2] == ends[0] or word[-2:] == ends[1]) and word not in not_as and within(bare, word, 1)), None)
     return None
 
 
@@ -225,7 +229,8 @@ def address_classes(addresses: DataFrame, crowd: int = CROWD) -> tuple[DataFrame
     must agree, a missing town being taken from the postcode's most frequent one.
     """
     values = addresses.select(F.col("address")).where("address is not null").distinct()
-    parsed = values.withColumn("f", F.pandas_udf(parse_batches, FORM)("address")).select("address", "f.*")
+    # else the filter on the parts is pushed below the distinction, and all rows are parsed, not the distinct strings
+    parsed = values.withColumn("f", F.pandas_udf(parse_batches, FORM).asNondeterministic()("address")).select("address", "f.*")
     usable = parsed.where("number is not null and street <> '' and kind is not null and (postcode is not null or town is not null)")
     members = usable.withColumn("class_id", F.xxhash64("number", "street", "kind", F.coalesce("postcode", F.lit("")), F.coalesce("town", F.lit("")), F.coalesce("town_whole", F.lit(""))))
     # written once: parsed strings are read several times below
