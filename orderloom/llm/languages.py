@@ -37,7 +37,7 @@ SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 150
 #: Sentences of each of them that the models are fitted on (those of least hash, so that no long text outweighs
 #: the others), and letters of the longest of these: what the driver gets is bounded by the three numbers.
 SAMPLE_SENTENCES, SAMPLE_SENTENCE_CHARS = 40, 600
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 #: n-grams overlap, so log likelihoods count by this factor; a further language must gain more than PENALTY.
 TEMPER, PENALTY = 0.3, 9.0
@@ -265,7 +265,8 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
             rows = [[{"lang": a, "confidence": b, "n_sentences": c} for a, b, c in segments] for segments in found]
             yield pd.Series(rows, dtype=object)
 
-    found = docs.select("doc_id", F.col("lang").alias("label"), run("text").alias("s"))
+    # else the explosion has a filter on the segments pushed below it, and each text is read twice
+    found = docs.select("doc_id", F.col("lang").alias("label"), run.asNondeterministic()("text").alias("s"))
     return found.select("doc_id", "label", F.size("s").alias("n_segments"), F.posexplode("s").alias("segment_no", "g")).select(
         "doc_id", "label", "n_segments", "segment_no", "g.lang", "g.confidence", "g.n_sentences"
     )
