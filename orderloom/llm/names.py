@@ -330,7 +330,9 @@ def name_classes(values: DataFrame) -> DataFrame:
         return pd.Series([tails_agree(x, y, c) for x, y, c in zip(a, b, company, strict=True)])
 
     counted = values.where("name is not null").groupBy("name").count()
-    cleaned = counted.withColumn("c", F.pandas_udf(clean_batches, "struct<form:string,legal:string,company:boolean>")("name"))
+    # else the filter on the form is pushed below the counting, and all rows are cleaned, not the distinct names
+    cleaner = F.pandas_udf(clean_batches, "struct<form:string,legal:string,company:boolean>").asNondeterministic()
+    cleaned = counted.withColumn("c", cleaner("name"))
     members = cleaned.select("name", "count", "c.*").where("form <> ''")
     # a lone word says little: there the legal form is part of the identity
     members = members.withColumn("node", F.when(F.instr("form", " ") == 0, F.concat_ws("|", "form", "legal")).otherwise(F.col("form")))
@@ -349,6 +351,8 @@ def name_classes(values: DataFrame) -> DataFrame:
     met = a.join(pairs.where("not crowded").select("h", "g"), "h").join(b, "g")
     keyed = a.join(crowded_pairs(parts, pairs.where("crowded")), "part_a").join(b, "part_b")
     met = met.unionByName(keyed).where("node_a <> node_b")
+    # else each pair is compared twice, once for the filter
+    agree = agree.asNondeterministic()
     edges = met.withColumn("sure", agree("tail_a", "tail_b", F.col("company_a") | F.col("company_b"))).where("sure > 0")
     edges = edges.withColumn("legal_fits", F.arrays_overlap("legals_a", "legals_b"))
     edges = edges.groupBy("node_a", "node_b").agg(F.max("sure").alias("sure"), F.max("legal_fits").alias("legal_fits"))
