@@ -107,3 +107,24 @@ MISSING_WARNING = "not found in document"
 NUMBERS_WARNING = "line numbers not present in document; assigned sequentially by row order"
 NO_ITEMS_WARNING = "no line items found"
 BODY_CURRENCY = "currency code/symbol found in document body"
+
+# States in their order, those that are done, and all that end the work on a mail or document.
+STAGES = ("RECEIVED", "EMAIL_PARSED", "DOCUMENT_DOWNLOADED", "DOCUMENT_PARSED", "EXTRACTED", "VALIDATED", "SAVED")
+DONE = ("SAVED", "DUPLICATE", "IGNORED")
+FINAL = (*DONE, "FAILED")
+
+# Errors that no repetition mends.
+PERMANENT_ERRORS = (
+    "EmailNotFoundError", "MalformedEmailError", "AttachmentNotFoundError", "DocumentParseError", "ExtractionError", "PurchaseOrderValidationError",
+)
+
+# Texts of events and of statuses.
+NEW_MAIL, DONE_MAIL, MAIL_AGAIN = "email received", "delivered again after it was finished", "taken again as it was not finished"
+NEW_FILE, DONE_FILE, FILE_AGAIN = "file downloaded", "file is already document", "file taken again as it was not finished"
+NO_PDF = "no PDF attachment found"
+
+# Messages of errors in validated orders, by rule; of required fields by field.
+ISSUE_MESSAGES = {
+    "no_part": "line item has neither part number nor description", "missing": "quantity is missing", "not_positive": "quantity must be positive", "negative": "unit price must not be negative",
+}
+REQUIRED_MESSAGES = {"po_number": "PO number is required", "line_items": "at least one line item is required"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.functions import vocab
 from orderloom.functions.orders import close
 from orderloom.functions.text import blank_to_null, clean_inline, normalize_email, strip
 
@@ -83,3 +84,13 @@ def verdicts(orders: DataFrame, issues: DataFrame, key: str = "id") -> DataFrame
     counts = issues.groupBy(key).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     every = orders.select(key).join(counts, key, "left")
     return every.select(key, F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"), (F.coalesce("errors", F.lit(0)) == 0).alias("is_valid"))
+
+
+def with_messages(issues: DataFrame) -> DataFrame:
+    """Adds the message of each error, and place, the order in which errors are told: fields of the order, then its lines."""
+    by_rule = F.create_map(*(F.lit(x) for pair in vocab.ISSUE_MESSAGES.items() for x in pair))
+    required = F.create_map(*(F.lit(x) for pair in vocab.REQUIRED_MESSAGES.items() for x in pair))
+    message = F.when(F.col("rule") == "required", F.try_element_at(required, F.col("field"))).otherwise(F.try_element_at(by_rule, F.col("rule")))
+    line = F.nullif(F.regexp_extract("field", r"line_items\[(\d+)\]", 1), F.lit("")).cast("int")
+    place = F.coalesce(line, F.when(F.col("field") == "line_items", 0).otherwise(-1))
+    return issues.withColumns({"message": message, "place": place})

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from orderloom.operators import state as st
 from orderloom.operators.state import first_by_key, merge
+from orderloom.session import cut_lineage
 from orderloom.sources.documents import read_snapshot, write_snapshot
 from orderloom.sources.mime import message_key, with_mime
 
@@ -48,6 +51,53 @@ def once_per_key(stream: DataFrame, keys: list[str], state_root: str, schema: st
     return run
 
 
+class Snapshots(NamedTuple):
+    """Schemas of the tables that a mail stream keeps, each a snapshot below one root."""
+
+    mails: str = "provider string, provider_message_id string, id string, status string, error_message string, subject string"
+    files: str = "file_hash string, id string, email_id string, status string, error_message string, duplicate_of string"
+    orders: str = "id string, document_id string, dedupe_key string"
+    acknowledged: str = "provider string, provider_message_id string"
+
+
+def processed(root: str, attachments: DataFrame, orders: DataFrame, items: DataFrame):
+    """foreachBatch function: mails go through all steps by their keys, in arrival order.
+
+    Mails are registered, their attachments (email_id) registered as files, the orders of files that
+    are no duplicates saved or found to be duplicates, and each mail gets what becomes of its files.
+    Finished mails leave before the costly steps. Snapshots are replaced whole and the mails' last, so
+    a batch that runs again after a crash changes nothing that was done.
+    """
+    kept = Snapshots()
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        table = {name: read_snapshot(spark, f"{root}/{name}", schema) for name, schema in kept._asdict().items()}
+        step = st.register_mails(table["mails"], batch, ["created_at", "id"], ["subject"])
+        outcomes = cut_lineage(step.outcomes)
+        # of deliveries of one message the last is worked on
+        live = outcomes.where("action <> 'finished'")
+        arrived = attachments.join(live.select(F.col("id").alias("email_id"), F.col("email_id").alias("_mail")), "email_id").withColumn("email_id", F.col("_mail")).drop("_mail")
+        files = st.register_files(table["files"], table["orders"].select("document_id", "id"), arrived.select("file_hash", "id", "email_id", "created_at"), ["created_at", "id"])
+        placed = cut_lineage(files.outcomes)
+        fresh = orders.join(placed.where("action <> 'duplicate'").select(F.col("id").alias("document_id"), F.col("document_id").alias("_file")), "document_id").withColumn("document_id", F.col("_file")).drop("_file")
+        saved = st.save_orders(table["orders"], fresh, items, ["created_at", "id"])
+        changes = cut_lineage(saved.documents)
+        parts = placed.join(changes.select(F.col("id").alias("document_id"), F.col("status").alias("_status")), "document_id", "left").join(arrived.select("id", F.col("attachment_index").alias("place"), "filename"), "id")
+        status = F.when(F.col("action") == "duplicate", "DUPLICATE").otherwise(F.coalesce("_status", F.lit("FAILED")))
+        parts = parts.select("email_id", "place", "filename", status.alias("status"), F.when(status == "FAILED", "no order in document").alias("error"))
+        rolled = st.mail_outcomes(live.select(F.col("email_id").alias("id")).distinct(), parts)
+        after = {
+            "files": st.update_status(files.state, changes.withColumnRenamed("error_message", "message")), "orders": table["orders"].unionByName(saved.headers.select("id", "document_id", "dedupe_key")),
+            "mails": st.update_status(step.state, rolled),
+        }
+        after["acknowledged"] = st.acknowledge(table["acknowledged"], after["mails"].join(batch.select("provider", "provider_message_id").distinct(), ["provider", "provider_message_id"]))
+        for name in ("files", "orders", "acknowledged", "mails"):
+            write_snapshot(cut_lineage(after[name].select(*table[name].columns)), f"{root}/{name}")
+
+    return run
+
+
 def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Run until all is processed (``once``) or poll for ever."""
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
