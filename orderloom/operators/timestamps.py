@@ -44,7 +44,17 @@ ZONE_MINUTES = {
     "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600,
 }
 
-WEEKDAYS = frozenset("mon tue tues wed thu thur thurs fri sat sun monday tuesday wednesday thursday friday saturday sunday".split())
+# Weekday names and short forms in the languages of the months.
+WEEKDAYS = frozenset("""
+mon tue tues wed thu thur thurs fri sat sun monday tuesday wednesday thursday friday saturday sunday
+mo di mi do fr sa so montag dienstag mittwoch donnerstag freitag samstag sonnabend sonntag
+lun mar mié mie jue vie sáb sab dom lunes martes miércoles miercoles jueves viernes sábado sabado domingo
+pon wt śr sr czw pt sob niedz nd poniedziałek wtorek środa czwartek piątek sobota niedziela
+mer jeu ven sam dim lundi mardi mercredi jeudi vendredi samedi dimanche
+gio lunedì lunedi martedì martedi mercoledì mercoledi giovedì giovedi venerdì venerdi domenica
+seg ter qua qui sex segunda terça terca quarta quinta sexta feira
+ma woe wo vr za zo maandag dinsdag woensdag donderdag vrijdag zaterdag zondag
+""".split())
 FILLERS = frozenset("at de del of uhr h r um a las alle à".split())
 MONTH_OF = {name: i + 1 for i, line in enumerate(MONTH_LINES.strip().splitlines()) for name in line.split()}
 
@@ -74,7 +84,7 @@ def word_kind(word: str) -> tuple[str, int]:
 DATES = (
     (r"N4[-/.]N[12][-/.]N[12]", "ymd"), (r"N8", "ymd8"), (r"N4-?WN2-?N1", "week"),
     (r"N[12][-/.]N[12][-/.]N4", "num"), (r"N[12][-/.]N[12][-/.]N2", "num2"),
-    (r"(?:d\.?,? )?N[12]o?\.?(?: of| f|)[ -]b\.?,?(?: f|)[ -]N4(?: f\.?)?", "dby"), (r"(?:d\.?,? )?N[12][ -]b\.?[ -]N2", "dby2"),
+    (r"(?:d(?:-d)?\.?,? )?N[12]o?\.?(?: of| f|)[ -]b\.?,?(?: f|)[ -]N4(?: f\.?)?", "dby"), (r"(?:d(?:-d)?\.?,? )?N[12][ -]b\.?[ -]N2", "dby2"),
     (r"(?:d,? )?b\.? N[12]o?,? N4", "bdy"),
 )
 TIME = r"N[12]:N2(?::N2(?:[.,]N[1-9])?)?(?: ?p)?"
@@ -132,6 +142,10 @@ def _swap(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
     return np.where(day_first, b, a), np.where(day_first, a, b), certain
 
 
+#: Parts (numbers, words, signs) of the longest shape and letters of the longest part, with room to spare.
+PARTS, PART_CHARS = 60, 40
+
+
 class Reader:
     """Converts batches of values; a shape is mapped to its parser once for the life of the reader."""
 
@@ -154,12 +168,15 @@ class Reader:
         raw = values.to_numpy(dtype=object)
         for k, mask in enumerate(distinct):
             rows = by_code[bounds[k] : bounds[k + 1]]
-            if 3 < len(mask) <= 80 and "9" in mask:
+            if len(mask) > 3 and "9" in mask:
                 self._group(mask, rows, raw, order, zone, out)
         return out
 
     def _group(self, mask: str, rows: np.ndarray, raw: np.ndarray, order: np.ndarray, zone: np.ndarray, out: np.ndarray) -> None:
         tokens = tokens_of(mask)
+        # no shape has so many parts or so long ones; other texts, however long, make no character matrix
+        if len(tokens) > PARTS or max(t.end - t.start for t in tokens) > PART_CHARS:
+            return
         matrix = Matrix(raw[rows], len(mask))
         word_tokens = [t for t in tokens if t.kind == "a"]
         signature = np.zeros(len(rows), dtype=np.int64)
@@ -175,6 +192,9 @@ class Reader:
         for sig in np.unique(signature):
             kinds = iter([letters[int(c)] for c in str(sig)] if word_tokens else [])
             marks = [(next(kinds) if t.kind == "a" else t.kind, t) for t in tokens]
+            if marks[0][0] == "b" and sum(k == "b" for k, _ in marks) > 1:
+                # "mar. 3 mars": short for a weekday too
+                marks[0] = ("d", marks[0][1])
             # a zone name in brackets after an offset says nothing more
             shape = re.sub(r"\[.*\]$", "", "".join(f"N{t.end - t.start}" if k == "N" else k for k, t in marks)).strip()
             if (name := self.parser(shape)) is not None:
@@ -280,9 +300,10 @@ def normal_forms(df: DataFrame, value: str, zones: ZoneTable, instants: bool, zo
 
     NULL, blank and unreadable values, days that do not exist, instants without zone whose source
     zone is NULL or unknown, and day-month pairs that neither their size nor ``date_order``
-    decides get NULL. Values over 80 characters are no dates. Other columns pass unchanged.
+    decides get NULL. Runs of white space count as one blank. Other columns pass unchanged.
     """
     text = F.trim(F.col(value))
+    text = F.when(text.rlike(r"\s{2}"), F.regexp_replace(text, r"\s{2,}", " ")).otherwise(text)
     if not instants:
         number = text.try_cast("int")
         serial = F.when(text.rlike("^[0-9]{5}$") & number.between(SERIAL_FROM, SERIAL_TO), F.date_add(F.lit("1970-01-01").cast("date"), number - SERIAL_ZERO).cast("string"))

@@ -17,7 +17,7 @@ from orderloom.functions.text import WHITE, ascii_spaces, blank_to_null, parse_d
 from orderloom.session import broadcast_if_small
 
 # Spellings of units. Each line: base unit, numerator, denominator, spellings.
-# A base unit is reached by spelling * numerator / denominator (+ offset, zero for all of these).
+# A base unit is reached by (spelling + offset) * numerator / denominator; the offset is zero for all of these.
 UNIT_LINES = """
 pc 1 1 pc pcs pce pces ea each piece pieces unit units st stk stck stück stueck stuck szt sztuk sztuka h87 c62 un und pz pza pzas nos no
 pc 2 1 pr pair pairs paar npr para par paire paires paio
@@ -92,7 +92,7 @@ MULTIPLE = rf"^({NUMBER})\s*(.*)()$"
 CONTENT = rf"(?i)^([^0-9]+?)\s*(?:\bof|à|@|/)?\s*({NUMBER})\s*(.*?)(?:\s+each)?$"
 NAME_HINT = r"(?i)(?:\(qty in ([^()]+)\)|\[uom ([^\[\]]+)\]|; menge in (.+)|, counted by the (.+)|- sold per (.+))\s*$"
 PRICE = r"(?i)^(.*?)(?:\s*/\s*|\s+(?:per|je|pro|por|par|à)\s+)(.*)$"
-FRACTION = "struct<num:decimal(18,0),den:decimal(18,0),is_base:boolean>"
+FRACTION = "struct<num:decimal(18,0),den:decimal(18,0),is_base:boolean,offset:decimal(12,4)>"
 TEN_K = 10_000
 
 
@@ -128,8 +128,8 @@ def _named(df: DataFrame, units: DataFrame, prefix: str, phrase: str) -> DataFra
     count = F.col("_count") * TEN_K
     pack = F.col("pack_size") * TEN_K
 
-    def fraction(num: Column, den: Column, is_base: Column) -> Column:
-        return F.struct(_whole(num).alias("num"), _whole(den).alias("den"), is_base.alias("is_base"))
+    def fraction(num: Column, den: Column, is_base: Column, offset: Column | None = None) -> Column:
+        return F.struct(_whole(num).alias("num"), _whole(den).alias("den"), is_base.alias("is_base"), (F.lit(0) if offset is None else offset).cast("decimal(12,4)").alias("offset"))
 
     is_package = F.coalesce(outer["kind"] == "package", F.lit(False)) | F.col("_outer").isin(*LOOSE_PACKAGES)
     content = F.when(
@@ -143,7 +143,7 @@ def _named(df: DataFrame, units: DataFrame, prefix: str, phrase: str) -> DataFra
     )
     unit = (
         F.when(whole["kind"] == "package", fraction(pack, F.lit(TEN_K), F.lit(False)))
-        .when(whole.isNotNull(), fraction(whole["unit_num"], whole["unit_den"], whole["kind"] == "base"))
+        .when(whole.isNotNull(), fraction(whole["unit_num"], whole["unit_den"], whole["kind"] == "base", whole["offset"]))
         .when(F.col("_shape") == "content", content)
         .when(F.col("_shape") == "multiple", multiple)
         .when((F.col("_shape") == "package") & is_package, content)
@@ -172,7 +172,7 @@ def to_base_units(items: DataFrame, catalog: DataFrame, units: DataFrame | None
     left out; blank or unknown units count as not named, so such a line counts base units; rows
     that repeat stay; only the columns named here are read, whatever else the tables hold. A
     package named by a price holds the catalogue's content, one counted by the line holds what the
-    line states; a bare "per 100" means base units.
+    line states; a bare "per 100" means base units. A unit with an offset shifts quantities, not prices.
     """
     units = units if units is not None else unit_table(items.sparkSession)
     parts = catalog.where("part_number is not null").select("part_number", "base_unit", "pack_size").dropDuplicates(["part_number"])
@@ -192,12 +192,12 @@ def to_base_units(items: DataFrame, catalog: DataFrame, units: DataFrame | None
     })
     for prefix in ("q", "u", "n", "p"):
         df = _named(df, units, prefix, f"{prefix}_text")
-    base = F.struct(F.lit(1).alias("num"), F.lit(1).alias("den"), F.lit(True).alias("is_base")).cast(FRACTION)
+    base = F.struct(F.lit(1).alias("num"), F.lit(1).alias("den"), F.lit(True).alias("is_base"), F.lit(0).alias("offset")).cast(FRACTION)
     df = df.withColumn("line_unit", F.coalesce("q_unit", "u_unit", "n_unit", base))
     df = df.withColumn("price_unit", F.coalesce("p_unit", "line_unit"))
     return df.select(
         "id",
-        _in_base(F.col("q_number"), F.col("line_unit.num"), F.col("line_unit.den")).alias("quantity_e4"),
+        _in_base(F.col("q_number") + F.col("line_unit.offset"), F.col("line_unit.num"), F.col("line_unit.den")).alias("quantity_e4"),
         F.col("line_unit.is_base").alias("quantity_is_base"),
         _in_base(F.col("p_number"), F.col("price_unit.den"), F.col("price_unit.num")).alias("price_e4"),
         F.col("price_unit.is_base").alias("price_is_base"),

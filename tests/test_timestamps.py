@@ -76,3 +76,14 @@ def test_cases_with_missing_and_clashing_columns(spark):
     found = sorted(tuple(r) for r in timestamp_cases(mails.withColumns(extra), orders.withColumns(extra), sources).collect())
     assert found == [("a", "order_date", "2025-02-01"), ("b", "order_date", "2025-03-01"), ("m", "received_at", "2025-01-01T09:00:00Z")]
     assert timestamp_cases(mails.limit(0), orders.limit(0), sources.limit(0)).count() == 0
+
+
+def test_weekdays_of_all_languages(spark):
+    days = ["lun. 3 mars 2025", "Montag, 3. März 2025", "mar. 4 mars 2025", "poniedziałek, 3 marca 2025", "lunedì 3 marzo 2025", "lunes, 3 de marzo de 2025", "segunda-feira, 3 de março de 2025", "maandag 3 maart 2025", "Mo., 03. Mär 2025"]
+    assert read(spark, [(d, None, "DMY") for d in days], False) == ["2025-03-04" if d.startswith("mar") else "2025-03-03" for d in days]
+
+
+def test_long_values(spark):
+    wide = f"2025-03-03{' ' * 500}10:00:00 +0100"
+    cases = [(wide, None, None), ("9" * 200_000, None, None), ("1 a " * 50_000, None, None), ("Wednesday, 12 September 2025 10:00:00.123456789 +02:00 [" + "America/Argentina/ComodRivadavia" * 2 + "]", None, None)]
+    assert read(spark, cases, True)[:3] == ["2025-03-03T09:00:00Z", None, None]

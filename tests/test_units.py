@@ -77,3 +77,17 @@ def test_line_totals_agree(spark, data):
     both = found.where("line_total is not null and quantity_e4 is not null and price_e4 is not null")
     off = both.where((F.abs(product - F.col("line_total").cast("double")) > 0.05) & (F.abs(product / F.col("line_total").cast("double") - 1) > 0.02))
     assert both.count() > 400 and off.count() == 0
+
+
+def test_units_with_an_offset(spark):
+    """(value + offset) * numerator / denominator, rounded once; the standard table has no such unit, a caller's may."""
+    from decimal import Decimal as D
+
+    units = spark.createDataFrame(
+        [("k", "k", "base", D(1), D(1), D(0)), ("c", "k", "unit", D(1), D(1), D("273.15")), ("f", "k", "unit", D(5), D(9), D("459.67"))],
+        "alias string, unit_base string, kind string, unit_num decimal(12,0), unit_den decimal(12,0), offset decimal(12,4)",
+    )
+    catalog = spark.createDataFrame([("P", "k", None)], "part_number string, base_unit string, pack_size decimal(18,4)")
+    items = spark.createDataFrame([(str(i), "P", None, q, None, None) for i, q in enumerate(["20 C", "-40 F", "300 K", "0 C"])], "id string, part_number string, part_name string, quantity string, unit_of_measure string, unit_price string")
+    got = {r.id: r.quantity_e4 for r in to_base_units(items, catalog, units).collect()}
+    assert got == {"0": 2931500, "1": 2331500, "2": 3000000, "3": 2731500}
