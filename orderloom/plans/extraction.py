@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.text import clean_inline
 from orderloom.operators import evaluate as ev
 from orderloom.operators import validate as va
 from orderloom.operators.documents import render_letters, render_orders
@@ -128,11 +129,26 @@ def evaluation(spark: SparkSession, d: str) -> DataFrame:
     return ev.accuracy(ev.evaluate(ev.long_form(heads, fields, "id"), ev.long_form(actual, fields, "id"), "id"), "id")
 
 
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return mime.with_mime(spread(mime.render_messages(table(spark, d, "inbound_emails"))))
+
+
 def mail_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    messages = mime.with_mime(spread(mime.render_messages(table(spark, d, "inbound_emails"))))
-    found = mime.metadata(messages.select("id", "provider", "provider_message_id", "mime"))
-    kept = found.select("provider", "provider_message_id", "internet_message_id", "sender_email", F.array_join("recipient_emails", ",").alias("recipients"), "email_body", "error_type")
-    return kept
+    found = mime.metadata(_messages(spark, d))
+    return found.select(
+        "provider", "provider_message_id", "internet_message_id", "thread_id", "sender_email", F.coalesce(clean_inline("sender_name"), F.lit("")).alias("sender_name"), F.array_join("recipient_emails", ",").alias("recipients"),
+        F.array_join("cc_emails", ",").alias("cc"), F.col("received_at").cast("string").alias("received_at"), "email_body", F.size("attachments").cast("bigint").alias("files"), "error_type",
+    )
+
+
+def mail_attachments(spark: SparkSession, d: str) -> DataFrame:
+    return mime.attachments(_messages(spark, d)).drop("content")
+
+
+def second_attachments(spark: SparkSession, d: str) -> DataFrame:
+    """Attachment number 1 of each mail, or why there is none."""
+    found = mime.attachment(_messages(spark, d), 1)
+    return found.select("provider", "provider_message_id", "filename", F.length("content").cast("bigint").alias("bytes"), "error_type")
 
 
 def parsed_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +161,7 @@ QUERIES = {
     "x3_x8_headers": headers, "x19_x20_notes": header_notes, "x3_x4_x5_candidates": candidates, "x11_x12_x16_x18_items": items, "x14_continued_tables": continued_tables,
     "x1_x9_t15_t17_letter_headers": letter_headers, "x8_x10_x19_x20_letter_notes": letter_notes, "x13_x18_letter_items": letter_items,
     "d2_d4_header_issues": header_issues, "d5_d7_item_issues": item_issues, "d8_d10_total_issues": total_issues, "d11_verdicts": verdicts, "e1_e3_evaluation": evaluation,
-    "m1_m6_mail_round_trip": mail_round_trip, "s9_s12_parsed_texts": parsed_texts,
+    "m1_m4_mail_round_trip": mail_round_trip, "m6_m9_m12_attachments": mail_attachments, "m7_second_attachments": second_attachments, "s12_parsed_texts": parsed_texts,
 }
 
 HEADS = """heads AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderkey AS VARCHAR) END AS po_number, CASE WHEN o_orderkey % 3 > 0 THEN 'S' END AS supplier_name,
@@ -156,6 +172,8 @@ LINES = """lines AS (SELECT l_orderkey AS purchase_order_id, l_linenumber AS lin
     row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS nth,
     l_partkey % 9 = 0 AS nameless, CASE WHEN l_suppkey % 7 > 0 THEN CAST(l_quantity - 1 AS DECIMAL(18,4)) END AS quantity,
     CAST(CASE WHEN l_partkey % 5 > 0 THEN l_quantity - 1 ELSE l_extendedprice END AS DECIMAL(18,4)) AS line_total FROM lineitem)"""
+FILES = """files AS (SELECT id, provider, provider_message_id, a.filename AS f, a.mime_type AS m, k, 'content of ' || id || '/' || k AS bytes FROM (SELECT *,
+    unnest(from_json(attachments, '[{"index":"INTEGER","filename":"VARCHAR","mime_type":"VARCHAR"}]')) AS a, generate_subscripts(from_json(attachments, '["JSON"]'), 1) - 1 AS k FROM inbound_emails))"""
 LETTERS = """letters AS (SELECT 'PO-' || o_orderkey AS document_id, CAST(o_orderdate AS DATE) AS day, o_custkey AS c, o_custkey % 100 AS s, o_orderkey % 2 = 0 AS a, n,
     CAST(o_totalprice AS DECIMAL(18,2)) AS goods, CAST(o_orderkey % 1000 / 100 AS DECIMAL(18,2)) AS tax, CAST(o_orderkey % 40 AS DECIMAL(18,2)) AS freight
     FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
@@ -176,8 +194,20 @@ TOTAL_ISSUES = f"""SELECT h.id, 'line_items' AS field, 'error' AS severity, 'req
     UNION ALL SELECT id, 'total_amount', 'warning', 'sum_of_parts' FROM heads WHERE NOT ({NEAR.format('total_amount', '(subtotal + coalesce(tax, 0))')})"""
 
 ORACLES = {
-    "m1_m6_mail_round_trip": f"""SELECT provider, provider_message_id, coalesce(internet_message_id, '<' || id || '@none>') AS internet_message_id, lower(sender_email) AS sender_email,
-        lower(array_to_string(recipient_email, ',')) AS recipients, {CLEAN.format('email_body')} AS email_body, CAST(NULL AS VARCHAR) AS error_type FROM inbound_emails""",
+    "m1_m4_mail_round_trip": f"""SELECT provider, provider_message_id, coalesce(internet_message_id, '<' || id || '@none>') AS internet_message_id, coalesce(thread_id, internet_message_id, '<' || id || '@none>') AS thread_id,
+        lower(sender_email) AS sender_email, trim(regexp_replace(coalesce(sender_name, ''), '\\s+', ' ', 'g')) AS sender_name, lower(array_to_string(recipient_email, ',')) AS recipients,
+        lower(array_to_string(coalesce(cc, []), ',')) AS cc, strftime(date_trunc('second', created_at), '%Y-%m-%d %H:%M:%S') AS received_at, {CLEAN.format('email_body')} AS email_body,
+        len(coalesce(json_extract(attachments, '$[*]'), [])) AS files, CAST(NULL AS VARCHAR) AS error_type FROM inbound_emails""",
+    "m6_m9_m12_attachments": f"""WITH {FILES} SELECT provider, provider_message_id, CAST(k AS INTEGER) AS attachment_index, coalesce(f, 'attachment-' || k || '.pdf') AS filename, m AS mime_type,
+        CAST(strlen(bytes) AS BIGINT) AS size_bytes, sha256(bytes) AS file_hash, m = 'application/pdf' OR coalesce(lower(f), '') LIKE '%.pdf' AS is_pdf FROM files""",
+    "m7_second_attachments": f"""WITH {FILES} SELECT e.provider, e.provider_message_id, f AS filename, CAST(strlen(bytes) AS BIGINT) AS bytes, CASE WHEN bytes IS NULL THEN 'AttachmentNotFound' END AS error_type
+        FROM inbound_emails e LEFT JOIN files ON files.id = e.id AND k = 1""",
+    "s12_parsed_texts": r"""WITH p AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10) || chr(10))) AS part FROM documents),
+        l AS (SELECT doc_id, list_filter(string_split(part, chr(10)), lambda x: regexp_matches(x, '[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{0b}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) AS lines FROM p),
+        n AS (SELECT doc_id, count(*) FILTER (WHERE len(lines) > 0 AND len(list_filter(lines, lambda x: NOT contains(x, chr(9)))) > 0) AS blocks,
+            count(*) FILTER (WHERE len(lines) > 0 AND len(list_filter(lines, lambda x: NOT contains(x, chr(9)))) = 0) AS tables FROM l GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN blocks + tables > 0 THEN CAST(blocks AS INTEGER) END AS blocks, CASE WHEN blocks + tables > 0 THEN CAST(tables AS INTEGER) END AS tables,
+        CASE WHEN coalesce(blocks + tables, 0) = 0 THEN 'DocumentParse' END AS error_type FROM documents d LEFT JOIN n USING (doc_id)""",
     "x3_x8_headers": """SELECT 'PO-' || o_orderkey AS document_id, 'PO-' || o_orderkey AS purchase_order_number, CAST(o_orderdate AS DATE) AS order_date, 'Client ' || o_custkey AS buyer_name,
         CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency, CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount
         FROM orders JOIN customer ON o_custkey = c_custkey""",

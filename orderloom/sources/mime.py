@@ -150,22 +150,35 @@ def attachments(messages: DataFrame) -> DataFrame:
 
 def attachment(messages: DataFrame, index: int) -> DataFrame:
     """Attachment ``index`` of each message; error_type says where there is none."""
-    found = F.expr(f"try_element_at(mime.attachments, {index + 1})") if index >= 0 else F.lit(None)
-    rows = messages.select("provider", "provider_message_id", found.alias("a")) if index >= 0 else messages.select("provider", "provider_message_id", F.get("mime.attachments", F.lit(-1)).alias("a"))
+    rows = messages.select("provider", "provider_message_id", F.get("mime.attachments", F.lit(index)).alias("a"))
     return rows.select("provider", "provider_message_id", "a.filename", "a.mime_type", "a.content", F.when(F.col("a").isNull(), "AttachmentNotFound").alias("error_type"))
 
 
 def render_messages(emails: DataFrame) -> DataFrame:
-    """Raw messages made from stored mails, to decode again: plain text, UTF-8, quoted by base64."""
-    encoded = F.regexp_replace(F.base64(F.encode(F.coalesce("email_body", F.lit("")), "UTF-8")), r"[\r\n]", "")
-    word = lambda c: F.concat(F.lit("=?utf-8?B?"), F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"[\r\n]", ""), F.lit("?="))
+    """Raw messages made from stored mails, to decode again: UTF-8 text by base64, parts for the attachments that the mail lists.
+
+    An attachment's bytes are ``content of {id}/{place}``; one without a file name has none in its headers either.
+    """
+    based = lambda c: F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"[\r\n]", "")
+    word = lambda c: F.concat(F.lit("=?utf-8?B?"), based(c), F.lit("?="))
+    listed = F.from_json("attachments", "array<struct<index:int,filename:string,mime_type:string>>")
+    files = F.coalesce(listed, F.array().cast("array<struct<index:int,filename:string,mime_type:string>>"))
+    named = lambda a: F.when(a["filename"].isNotNull(), F.concat(F.lit('; filename="'), a["filename"], F.lit('"'))).otherwise(F.lit(""))
+    text = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), based(F.coalesce("email_body", F.lit(""))))
+    part = lambda a, k: F.concat(
+        F.lit("--=part\r\nContent-Type: "), F.coalesce(a["mime_type"], F.lit("application/octet-stream")), F.lit("\r\nContent-Disposition: attachment"), named(a),
+        F.lit("\r\nContent-Transfer-Encoding: base64\r\n\r\n"), based(F.concat(F.lit("content of "), F.col("id"), F.lit("/"), k.cast("string"))),
+    )
+    parts = F.concat(F.lit("Content-Type: multipart/mixed; boundary=\"=part\"\r\n\r\n--=part\r\n"), text, F.lit("\r\n"), F.array_join(F.transform("_files", part), "\r\n"), F.lit("\r\n--=part--\r\n"))
     lines = [
-        F.concat(F.lit("Message-ID: "), F.coalesce("internet_message_id", F.concat(F.lit("<"), "id", F.lit("@none>")))),
-        F.concat(F.lit("From: <"), F.col("sender_email"), F.lit(">")), F.concat(F.lit("To: "), F.array_join("recipient_email", ", ")),
-        F.when(F.size("cc") > 0, F.concat(F.lit("Cc: "), F.array_join("cc", ", "))), F.when(F.length(F.trim("subject")) > 0, F.concat(F.lit("Subject: "), word(F.col("subject")))),
-        F.lit("MIME-Version: 1.0"), F.lit("Content-Type: text/plain; charset=utf-8"), F.lit("Content-Transfer-Encoding: base64"), F.lit(""), encoded,
+        F.concat(F.lit("Message-ID: "), F.coalesce("internet_message_id", F.concat(F.lit("<"), "id", F.lit("@none>")))), F.when(F.col("thread_id").isNotNull(), F.concat(F.lit("References: "), "thread_id")),
+        F.concat(F.lit("From: "), F.when(F.length(F.trim("sender_name")) > 0, word(F.col("sender_name"))).otherwise(F.lit("")), F.lit(" <"), F.col("sender_email"), F.lit(">")),
+        F.concat(F.lit("To: "), F.array_join("recipient_email", ", ")), F.when(F.size("cc") > 0, F.concat(F.lit("Cc: "), F.array_join("cc", ", "))),
+        F.concat(F.lit("Date: "), F.date_format("created_at", "d MMM yyyy HH:mm:ss"), F.lit(" +0000")), F.when(F.length(F.trim("subject")) > 0, F.concat(F.lit("Subject: "), word(F.col("subject")))),
+        F.lit("MIME-Version: 1.0"), F.when(F.size("_files") > 0, parts).otherwise(text),
     ]
-    return emails.select("id", "provider", "provider_message_id", F.encode(F.concat_ws("\r\n", *lines), "UTF-8").alias("content"))
+    rows = emails.withColumn("_files", files)
+    return rows.select("id", "provider", "provider_message_id", F.encode(F.concat_ws("\r\n", *lines), "UTF-8").alias("content"))
 
 
 PROVIDERS = {"local": scan_messages}
