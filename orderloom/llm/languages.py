@@ -31,6 +31,9 @@ pl pol polish polnisch polonais polaco polonês polones polacco pools polski
 """
 LABELS = {word: line.split()[0] for line in LABEL_LINES.strip().splitlines() for word in line.split()}
 LANGUAGES = tuple(line.split()[0] for line in LABEL_LINES.strip().splitlines())
+#: Code of text in a script for which no language has a model.
+OTHER = "und"
+NAMES = (*LANGUAGES, OTHER)
 
 #: Labelled documents of each language that the models are fitted on, and those of fewest letters among them.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 150
@@ -45,6 +48,7 @@ ROUNDS = 3
 
 #: Between sentences: white space after an end sign, perhaps with a slash or dash in it.
 BREAK = re.compile(r"(?<=[.!?…])[\s\u200b]+(?:(?:[/|–—-]+|//)\s+)?(?=[^\W\d_]|['\"¿¡«„])|\s+//?\s+(?=[^\W\d_]{2})")
+LETTER, FOREIGN = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_A-Za-zªºÀ-ɏḀ-ỿ]")
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -125,6 +129,13 @@ class Model:
         return out * TEMPER
 
 
+def with_other(ll: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Likelihoods with a column for no known language, which sentences take whose letters are mostly of another script."""
+    foreign = np.array([not t.isascii() and 2 * len(FOREIGN.findall(t)) > len(LETTER.findall(t)) for t in texts], dtype=bool)
+    other = np.where(foreign, ll.max(axis=1, initial=-1e9) + 10 * PENALTY, -1e6)
+    return np.column_stack([ll, other])
+
+
 def mixture(ll: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Chosen languages (column numbers) and the responsibilities of each sentence (rows) for them."""
     best = int(ll.sum(axis=0).argmax())
@@ -164,7 +175,7 @@ def document_segments(ll: np.ndarray) -> list[tuple[str, float, int]]:
     shifted = np.exp(ll - ll.max(axis=1, keepdims=True))
     certain = (shifted / shifted.sum(axis=1, keepdims=True))[np.arange(len(ll)), chosen[picks]]
     cuts = [0, *(np.flatnonzero(np.diff(picks)) + 1).tolist(), len(picks)]
-    return [(LANGUAGES[chosen[picks[a]]], float(np.mean(certain[a:b])), b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(NAMES[chosen[picks[a]]], float(np.mean(certain[a:b])), b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def batch_segments(ll: np.ndarray, sizes: np.ndarray) -> list[list[tuple[str | None, float, int]]]:
@@ -187,7 +198,7 @@ def batch_segments(ll: np.ndarray, sizes: np.ndarray) -> list[list[tuple[str | N
     certain = np.add.reduceat(np.exp(own - peak) / np.exp(ll - peak[:, None]).sum(axis=1), starts) / sizes[some]
     for k, d in enumerate(some.tolist()):
         a, n = int(starts[k]), int(sizes[d])
-        out[d] = [(LANGUAGES[best[k]], float(certain[k]), n)] if single[k] else document_segments(ll[a : a + n])
+        out[d] = [(NAMES[best[k]], float(certain[k]), n)] if single[k] else document_segments(ll[a : a + n])
     return out
 
 
@@ -248,7 +259,8 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, label, segment_no, lang, confidence, n_segments of every document.
 
     A document without a sentence (NULL, empty, blank, only codes or headings) has one row with lang
-    NULL, segment 0 and confidence 0. Texts are read whole, whatever their length. Rows that repeat
+    NULL, segment 0 and confidence 0. Sentences in a script without any model are ``und``; a language in
+    Latin letters without a model takes the likeliest one that has. Texts are read whole, whatever their length. Rows that repeat
     stay apart. Labels pass as they stand.
     """
     if model is None:
@@ -261,7 +273,8 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
         own = Model(shared.value)
         for texts in batches:
             parts = [sentences(t) if isinstance(t, str) else [] for t in texts]
-            found = batch_segments(own.score([s for p in parts for s in p]), np.array([len(p) for p in parts], dtype=np.int64))
+            every = [s for p in parts for s in p]
+            found = batch_segments(with_other(own.score(every), every), np.array([len(p) for p in parts], dtype=np.int64))
             rows = [[{"lang": a, "confidence": b, "n_sentences": c} for a, b, c in segments] for segments in found]
             yield pd.Series(rows, dtype=object)
 
@@ -273,8 +286,8 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def label_cases(docs: DataFrame) -> DataFrame:
-    """Segments of documents whose label is missing or wrong or that mix languages."""
+    """Segments of documents whose label is missing or wrong or that mix languages; segments of no known language have no row."""
     found = language_segments(docs).where("lang is not null")
     named = label_code(F.col("label"))
     wrong = named.isNull() | (named != F.col("lang")) | (F.col("n_segments") > 1)
-    return found.where(wrong).select("doc_id", F.col("segment_no").cast("int"), "lang")
+    return found.where(wrong & (F.col("lang") != OTHER)).select("doc_id", F.col("segment_no").cast("int"), "lang")

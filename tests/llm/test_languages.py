@@ -92,3 +92,9 @@ def test_long_and_empty(spark, model):
     assert [(x.lang, x.n_sentences) for x in r] == [("en", 20_000)]
     assert language_segments(spark.createDataFrame([], "doc_id bigint, text string, lang string"), model).count() == 0
     assert label_cases(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
+
+
+def test_other_scripts(spark, model):
+    russian = "Пожалуйста, подтвердите дату поставки этого заказа как можно скорее."
+    r = found(spark, model, [(1, russian, "ru"), (2, f"{EN} {russian} {russian}\n{EN}", "en"), (3, f"{EN} Ω and Привет.", "en")])
+    assert [(x.doc_id, x.segment_no, x.lang) for x in r] == [(1, 0, "und"), (2, 0, "en"), (2, 1, "und"), (2, 2, "en"), (3, 0, "en")]
