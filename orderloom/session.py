@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints go when the tables that were cut there do
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -76,8 +76,11 @@ def _pointer(spark: SparkSession, root: str):
 
 
 def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new version beside the older ones and then point to it: readers never see half a table."""
-    version = uuid.uuid4().hex
+    """Write a new version beside the older ones and then point to it: readers never see half a table.
+
+    The version before stays for those who still read it; older ones are deleted.
+    """
+    version, before = uuid.uuid4().hex, current_version(df.sparkSession, root)
     df.write.parquet(f"{root}/{version}")
     fs, path = _pointer(df.sparkSession, root)
     out = fs.create(path, True)
@@ -85,6 +88,9 @@ def write_snapshot(df: DataFrame, root: str) -> str:
         out.writeBytes(version)
     finally:
         out.close()
+    for old in fs.listStatus(path.getParent()):
+        if old.isDirectory() and old.getPath().getName() not in (version, before):
+            fs.delete(old.getPath(), True)
     return version
 
 

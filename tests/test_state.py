@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from orderloom.operators import evaluate as ev
 from orderloom.operators import state as st
 from orderloom.operators import validate as va
-from orderloom.sources.documents import read_snapshot
+from orderloom.sources.documents import read_snapshot, write_snapshot
 from orderloom.streaming import mail
 
 
@@ -188,3 +188,11 @@ def test_steps_and_events_numbered_in_order(spark):
     got = [(r.id, r.name) for r in st.append_events(base, events, ["created_at", "name"]).orderBy("id").collect()]
     assert got == [(40, "first")] + [(41 + k, n) for k, (_, n) in enumerate(sorted((DAY[k % 3], f"e{k:03}") for k in range(200)))]
     assert st.append_events(base, events.limit(0), ["created_at", "name"]).count() == 1
+
+
+def test_old_snapshots_are_deleted(spark, tmp_path):
+    root = str(tmp_path / "s")
+    for k in range(4):
+        write_snapshot(spark.range(k + 1), root)
+    assert read_snapshot(spark, root, "id bigint").count() == 4
+    assert sum(p.is_dir() for p in (tmp_path / "s").iterdir()) == 2
