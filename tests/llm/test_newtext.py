@@ -87,12 +87,12 @@ def test_rows(spark):
 
 @pytest.fixture(scope="module")
 def mails(spark, data):
-    return spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/inbound_emails.parquet")
+    return spark.read.parquet(data.replace("sf0.001", "sf0.1") + "/inbound_emails.parquet")
 
 
 @pytest.fixture(scope="module")
 def fitted(mails):
-    return nt.fit_chain(nt.training_sample(mails, 800).toPandas())
+    return nt.fit_chain(nt.training_sample(mails).toPandas())
 
 
 def test_new_lines_were_not_sent_before(spark, mails, fitted):
@@ -126,7 +126,7 @@ def test_language_that_no_list_knows(fitted):
 
 def test_held_out_mails_with_hidden_lists(mails, fitted):
     """Mails outside the sample, their word lists hidden: the fit finds most closings that the starting weights take for new text."""
-    sample = set(nt.training_sample(mails, 800).toPandas()["id"])
+    sample = set(nt.training_sample(mails).toPandas()["id"])
     rows = mails.where("length(email_body) > 0").toPandas()
     rows = rows[~rows["id"].isin(sample)]
     columns = [[v if isinstance(v, str) else None for v in rows[c]] for c in ("email_body", "sender_email", "sender_name")]
@@ -144,4 +144,5 @@ def test_held_out_mails_with_hidden_lists(mails, fitted):
             truth, found = decode(chain, block)[rows_] == 0, decode(chain, copy)[rows_] == 0
             false, lost = false + int((found & ~truth & live).sum()), lost + int((truth & ~found & live).sum())
         wrong[name] = (false, lost)
-    assert wrong["fitted"][0] < 0.35 * wrong["start"][0] and wrong["fitted"][1] <= wrong["start"][1] + 3
+    # lines found that are not new go down to a few; those lost may rise a little, all errors together fall to a tenth
+    assert wrong["fitted"][0] < 0.05 * wrong["start"][0] and sum(wrong["fitted"]) < 0.1 * sum(wrong["start"])
