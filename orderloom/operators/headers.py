@@ -1,6 +1,7 @@
 """Order header fields of parsed documents: label candidates from text and tables, resolved by rank.
 
-All of it is local to a document's row: array expressions, no exchange.
+All of it is local to a document's row, no exchange: candidates and whole extractions are array expressions, header
+fields alone are read in Arrow batches.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from orderloom.functions.orders import (
 from orderloom.functions.text import blank_to_null, clean_inline, detect_currency, let, normalize_email, strip
 from orderloom.operators.documents import labelled
 from orderloom.operators.items import item_tables, with_items
+from orderloom.operators.reading import HEADER_FIELDS, ITEM_FIELDS, read_batches
 
-HEADER_FIELDS = tuple(f for f, _ in vocab.HEADER_LABELS)
 BLOCK_FIELDS = (*vocab.PARTY_FIELDS, *vocab.ADDRESS_FIELDS)
 
 
@@ -149,7 +150,22 @@ def header_fields(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
 
     Every document has a row; fields that are not found are NULL.
     """
-    return _fields(docs, date_order).select("document_id", *HEADER_FIELDS, "evidence", "warnings")
+    return _read(docs, date_order, False).select("document_id", *_typed_fields(), "evidence", "warnings")
+
+
+def _read(docs: DataFrame, date_order: str, items: bool) -> DataFrame:
+    """What ``read_batches`` makes of the documents, whether labelled before or not."""
+    tables = F.transform("grids", lambda g: F.struct(g["rows"].alias("rows"))) if "grids" in docs.columns else F.col("tables")
+    found = docs.select("document_id", "text_blocks", tables.alias("tables"))
+    item = ",".join(f"{f}:{'int' if f == 'line_number' else 'string'}" for f in ITEM_FIELDS)
+    kinds = [f"document_id {found.schema['document_id'].dataType.simpleString()}", *(f"{f} string" for f in HEADER_FIELDS), "evidence map<string,string>", "warnings array<string>"]
+    kinds += [f"items array<struct<seq:int,{item}>>", "numbers_given boolean"] if items else []
+    return found.mapInArrow(read_batches(date_order, items), ", ".join(kinds))
+
+
+def _typed_fields() -> list[Column]:
+    kinds = dict.fromkeys(vocab.DATE_FIELDS, "date") | dict.fromkeys(vocab.MONEY_FIELDS, "decimal(38,10)")
+    return [F.col(f).cast(kinds.get(f, "string")).alias(f) for f in HEADER_FIELDS]
 
 
 def _fields(docs: DataFrame, date_order: str) -> DataFrame:
