@@ -1,7 +1,7 @@
 """Order header fields of parsed documents: label candidates from text and tables, resolved by rank.
 
-All of it is local to a document's row, no exchange: candidates and whole extractions are array expressions, header
-fields alone are read in Arrow batches.
+All of it is local to a document's row, no exchange: candidates by themselves are array expressions, header
+fields and whole extractions are read in Arrow batches, as the same expressions took many times as long.
 """
 
 from __future__ import annotations
@@ -10,19 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.functions import vocab
-from orderloom.functions.orders import (
-    address_line,
-    has_company_suffix,
-    last_money,
-    looks_like_address,
-    parse_date,
-    po_number,
-    split_party,
-    strip_markdown,
-)
-from orderloom.functions.text import blank_to_null, clean_inline, detect_currency, let, normalize_email, strip
-from orderloom.operators.documents import labelled
-from orderloom.operators.items import item_tables, with_items
+from orderloom.functions.orders import strip_markdown
+from orderloom.functions.text import blank_to_null, let, strip
+from orderloom.operators.items import ITEM, item_tables
 from orderloom.operators.reading import HEADER_FIELDS, ITEM_FIELDS, read_batches
 
 BLOCK_FIELDS = (*vocab.PARTY_FIELDS, *vocab.ADDRESS_FIELDS)
@@ -92,59 +82,6 @@ def candidates_of(docs: DataFrame) -> DataFrame:
     return item_tables(docs).withColumn("candidates", both)
 
 
-def typed_value(field: Column, value: Column, date_order: str) -> Column:
-    """struct of the value as text and what a party block says beside its name; text NULL if unusable."""
-
-    def party(block: Column) -> Column:
-        return F.struct(block["name"].alias("text"), block["address"].alias("address"), block["email"].alias("email"))
-
-    text = (
-        F.when(field == "purchase_order_number", po_number(value))
-        .when(field.isin(*vocab.DATE_FIELDS), parse_date(value, date_order).cast("string"))
-        .when(field.isin(*vocab.MONEY_FIELDS), last_money(value).cast("string"))
-        .when(field == "currency", detect_currency(value))
-        .when(field == "supplier_email", normalize_email(value))
-        .when(field.isin(*vocab.ADDRESS_FIELDS), address_line(value))
-        .otherwise(clean_inline(value))
-    )
-    alone = lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("address"), F.lit(None).cast("string").alias("email"))
-    return F.when(field.isin(*vocab.PARTY_FIELDS), let(split_party(value), party)).otherwise(let(text, alone))
-
-
-def resolve(field: str, typed: Column) -> Column:
-    """struct(met, text, address, email, evidence) of a field: the first usable candidate by priority, then by place.
-
-    met is where the field was first met, usable or not: of a party's own address and an explicitly
-    labelled one, the field met first wins.
-    """
-
-    def ranked(own: Column) -> Column:
-        first = lambda k: F.get(F.filter(own, lambda x: (x["priority"] == k) & x["v"]["text"].isNotNull()), F.lit(0))
-        return let(F.coalesce(first(0), first(1)), lambda w: F.struct(F.get(own, F.lit(0))["at"].alias("met"), w["v"]["text"].alias("text"), w["v"]["address"].alias("address"), w["v"]["email"].alias("email"), w["evidence"].alias("evidence")))
-
-    return let(F.filter(typed, lambda x: x["field"] == field), ranked)
-
-
-def letterhead(lines: Column) -> Column:
-    """struct(name, address, line): a company in the first six lines, before any labelled value; NULL if there is none."""
-
-    def tried(six: Column) -> Column:
-        closed = F.array_position(F.transform(six, lambda x: F.coalesce(x["label"]["rest"], F.lit("")) != ""), F.lit(True)).cast("int")
-        before = lambda n: F.when(n > 0, F.slice(six, F.lit(1), n - 1)).otherwise(six)
-        fits = lambda x: x["label"].isNull() & F.coalesce(has_company_suffix(strip(x["line"])), F.lit(False))
-        place = lambda usable: F.array_position(F.transform(usable, fits), F.lit(True)).cast("int")
-        return let(closed, lambda n: place(before(n)))
-
-    def read(n: Column) -> Column:
-        line = strip(F.get(lines, n - 1)["line"])
-        ahead = F.transform(F.slice(lines, n + 1, 3), lambda y: F.struct((y["label"].isNotNull() | ~looks_like_address(strip(y["line"]))).alias("stop"), strip(y["line"]).alias("text")))
-        block = lambda alone, below: F.when(alone["address"].isNull() & (F.size(below) > 0), split_party(F.array_join(F.concat(F.array(line), below), "\n"))).otherwise(alone)
-        best = let(split_party(line), lambda alone: let(_until_stop(ahead), lambda below: block(alone, below)))
-        return let(best, lambda b: F.struct(b["name"].alias("name"), b["address"].alias("address"), line.alias("line")))
-
-    return let(tried(F.slice(lines, 1, 6)), lambda n: F.when(n > 0, read(n)))
-
-
 def header_fields(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
     """document_id, one column per header field (typed), evidence (map of field to source text), warnings.
 
@@ -168,50 +105,11 @@ def _typed_fields() -> list[Column]:
     return [F.col(f).cast(kinds.get(f, "string")).alias(f) for f in HEADER_FIELDS]
 
 
-def _fields(docs: DataFrame, date_order: str) -> DataFrame:
-    docs = candidates_of(docs)
-    typed = F.transform("candidates", lambda x, i: F.struct(i.alias("at"), x["field"].alias("field"), x["priority"].alias("priority"), x["evidence"].alias("evidence"), typed_value(x["field"], x["value"], date_order).alias("v")))
-    wide = docs.withColumn("_typed", typed)
-    wide = wide.withColumns({f"_{f}": resolve(f, F.col("_typed")) for f in HEADER_FIELDS} | {"_letter": letterhead(F.col("lines"))})
-    value = lambda f: F.col(f"_{f}.text")
-
-    def shared(field: str, party: str, part: str) -> tuple[Column, Column]:
-        """Value and evidence of a field that a party block may give too."""
-        explicit, beside = value(field), F.when(value(party).isNotNull(), F.col(f"_{party}.{part}"))
-        by_party = beside.isNotNull() & (explicit.isNull() | (F.col(f"_{party}.met") < F.col(f"_{field}.met")))
-        return F.when(by_party, beside).otherwise(explicit), F.when(by_party, F.col(f"_{party}.evidence")).otherwise(F.col(f"_{field}.evidence"))
-
-    special = {"supplier_address": ("supplier_name", "address"), "supplier_email": ("supplier_name", "email"), "buyer_address": ("buyer_name", "address")}
-    both = {f: shared(f, *special[f]) if f in special else (value(f), F.col(f"_{f}.evidence")) for f in HEADER_FIELDS}
-    use = value("buyer_name").isNull() & F.col("_letter").isNotNull()
-    both["buyer_name"] = F.when(use, F.col("_letter.name")).otherwise(both["buyer_name"][0]), F.when(use, F.col("_letter.line")).otherwise(both["buyer_name"][1])
-    address, source = both["buyer_address"]
-    both["buyer_address"] = F.when(use, F.coalesce(address, "_letter.address")).otherwise(address), source
-    cells = F.flatten(F.transform("grids", lambda g: F.flatten(g["rows"])))
-    corpus = F.array_join(F.concat("text_blocks", cells), "\n")
-    # only documents that name no currency are searched whole
-    body = F.when(value("currency").isNull(), let(corpus, lambda c: F.struct(detect_currency(c).alias("code"), c.contains("$").alias("dollar"))))
-    wide = wide.withColumn("_body", body)
-    both["currency"] = F.coalesce(value("currency"), "_body.code"), F.when(F.col("_body.code").isNotNull(), vocab.BODY_CURRENCY).otherwise(both["currency"][1])
-    kinds = dict.fromkeys(vocab.DATE_FIELDS, "date") | dict.fromkeys(vocab.MONEY_FIELDS, "decimal(38,10)")
-    entries = F.array(*(F.struct(F.lit(f).alias("key"), F.when(v.isNotNull(), e).alias("value")) for f, (v, e) in both.items()))
-    evidence = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    warnings = F.filter(
-        F.array(
-            F.when(use, vocab.LETTERHEAD_WARNING), F.when(F.col("_body").isNotNull() & F.col("_body.code").isNull() & F.col("_body.dollar"), vocab.DOLLAR_WARNING),
-            *(F.when(both[f][0].isNull(), f"{f} {vocab.MISSING_WARNING}") for f in ("purchase_order_number", "supplier_name", "order_date", "total_amount")),
-        ),
-        lambda w: w.isNotNull(),
-    )
-    rest = [c for c in ("parts", "items", "numbers_given") if c in wide.columns]
-    return wide.select("document_id", *rest, *(v.cast(kinds.get(f, "string")).alias(f) for f, (v, _) in both.items()), evidence.alias("evidence"), warnings.alias("warnings"))
-
-
 def extract(docs: DataFrame, date_order: str = "MDY") -> DataFrame:
     """Header fields with line_items (array of struct in document order) and all warnings."""
-    both = _fields(with_items(labelled(docs), date_order), date_order)
     none = F.array().cast("array<string>")
     notes = F.concat(
         F.when(F.col("numbers_given"), F.array(F.lit(vocab.NUMBERS_WARNING))).otherwise(none), "warnings", F.when(F.size("items") == 0, F.array(F.lit(vocab.NO_ITEMS_WARNING))).otherwise(none),
     )
-    return both.select("document_id", *HEADER_FIELDS, "evidence", notes.alias("warnings"), F.col("items").alias("line_items"))
+    typed = F.col("items").cast(f"array<{ITEM.replace('struct<', 'struct<seq:int,')}>")
+    return _read(docs, date_order, True).select("document_id", *_typed_fields(), "evidence", notes.alias("warnings"), typed.alias("line_items"))

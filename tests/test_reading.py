@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from orderloom.functions import orders, text, vocab
 from orderloom.operators import reading
-from orderloom.operators.headers import candidates_of, header_fields
+from orderloom.operators.headers import candidates_of, extract, header_fields
+from orderloom.operators.items import line_items
 from orderloom.plans import extraction
 
 DOC = "document_id string, text_blocks array<string>, tables array<struct<page_no:int,rows:array<array<string>>>>"
@@ -71,3 +72,17 @@ def test_headers_are_read_in_batches(spark, data):
     """As array expressions they took over a millisecond of a core for each document."""
     plan = header_fields(extraction.letters(spark, data))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "split_part" not in plan and "regexp" not in plan
+
+
+def test_extractions_are_read_in_batches(spark, data):
+    plan = extract(extraction.letters(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "split_part" not in plan and "regexp" not in plan
+
+
+def test_same_items(spark):
+    docs = spark.createDataFrame(DOCS, DOC)
+    expected: dict = {}
+    for r in line_items(docs).collect():
+        expected.setdefault(r.document_id, []).append(tuple(r)[1:-1])
+    found = {r.document_id: [tuple(i) for i in r.line_items] for r in extract(docs).collect()}
+    assert len(expected) == 2 and found == {name: expected.get(name, []) for name, _, _ in DOCS}
